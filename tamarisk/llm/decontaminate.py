@@ -79,8 +79,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     # no more than `window` distinct lengths
     lengths = sorted(r[0] for r in test.select(F.least(F.size("ws"), F.lit(window)).alias("t")).distinct().collect())
     base = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
-    counts = base.groupBy("id").agg(F.max(F.size(words(F.col("text")))).cast("long").alias("n_words"))
-    hits = [_hits(base, test, t, window) for t in lengths]
+    tests = [_windows(test, t, window) for t in lengths]
+    marked = [_marked(base, prints, t) for t, (prints, _) in zip(lengths, tests, strict=True)]
+    hits = [_hits(base, m, grams, t) for t, (_, grams), m in zip(lengths, tests, marked, strict=True)]
+    counts = marked[0].select("id", "n_words") if hits else base.groupBy("id").agg(F.max(F.size(words(F.col("text")))).cast("long").alias("n_words"))
     if hits:
         found = reduce(DataFrame.unionByName, hits).groupBy("id").agg(F.collect_set(F.struct("at", "t")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("items"))
         out = counts.join(found.withColumnRenamed("id", "found_id"), F.col("id").eqNullSafe(F.col("found_id")), "left")
@@ -91,18 +93,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"), F.array_sort("spans").alias("spans"))
 
 
-def _hits(docs: DataFrame, test: DataFrame, t: int, window: int) -> DataFrame:
-    """Occurrences of item windows of t words: id, at, t, of (ids of the items with that window)."""
+def _windows(test: DataFrame, t: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """Of the items with windows of t words: fingerprint hashes (h), and windows with the items that have them (gram, of)."""
     mine = test.where(F.size("ws") >= t if t == window else F.size("ws") == t)
     grams = stored(mine.select("item", F.explode(F.array_distinct(_grams(F.col("ws"), t))).alias("gram")).groupBy("gram").agg(F.array_sort(F.collect_set("item")).alias("of")), "windows")
-    prints = stored(mine.select(F.explode(fingerprints(F.col("ws"), t)).alias("f")).select(print_hash(F.col("f")).alias("h")).distinct(), "prints")
+    prints = stored(mine.select(F.explode(fingerprints(F.col("ws"), t)).alias("f")).select(print_hash(F.col("f")).alias("h"), F.lit(True).alias("hit")).distinct(), "prints")
     few = all(x.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS for x in (prints, grams))
-    marks = docs.select("id", F.explode(fingerprints(words(F.col("text")), t)).alias("f")).select("id", print_hash(F.col("f")).alias("h"), print_position(F.col("f")).alias("p"))
-    marked = marks.join(F.broadcast(prints) if few else prints, "h", "left_semi")
-    places = marked.groupBy(F.col("id").alias("place_id")).agg(F.collect_set("p").alias("ps"))
+    return (F.broadcast(prints), F.broadcast(grams)) if few else (prints, grams)
+
+
+def _marked(docs: DataFrame, prints: DataFrame, t: int) -> DataFrame:
+    """id, n_words, ps: the places where a fingerprint of the items occurs. The texts are split into words once."""
+    # beside its fingerprints, a document sends one negative number, which carries its number of words
+    sent = _let(words(F.col("text")), lambda ws: F.concat(fingerprints(ws, t), F.array(-F.size(ws).cast("long") - 1)))
+    marks = docs.select("id", F.explode(sent).alias("f"))
+    count = F.col("f") < 0
+    found = marks.select("id", "f", F.when(count, F.xxhash64("id")).otherwise(print_hash(F.col("f"))).alias("h")).join(prints, "h", "left").where(count | F.col("hit"))
+    return stored(found.groupBy("id").agg(F.max(F.when(count, -F.col("f") - 1)).alias("n_words"), F.collect_set(F.when(~count, print_position(F.col("f")))).alias("ps")), "marked")
+
+
+def _hits(docs: DataFrame, marked: DataFrame, grams: DataFrame, t: int) -> DataFrame:
+    """Occurrences of item windows of t words: id, at, t, of (ids of the items with that window)."""
     k = (t + 1) // 2
     # every window of t words that covers the k words at p
     starts = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(F.greatest(p - (t - k), F.lit(0)), p))))
-    near = docs.join(places, F.col("id").eqNullSafe(F.col("place_id"))).select("id", words(F.col("text")).alias("ws"), starts.alias("starts"))
+    places = marked.where(F.size("ps") > 0).select(F.col("id").alias("place_id"), starts.alias("starts"))
+    near = docs.join(places, F.col("id").eqNullSafe(F.col("place_id"))).select("id", words(F.col("text")).alias("ws"), "starts")
     spans = near.select("id", F.explode(F.transform("starts", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("ws", i + 1, t), " ").alias("gram"), (i + t <= F.size("ws")).alias("whole")))).alias("x")).where("x.whole").select("id", "x.at", "x.gram")
-    return spans.join(F.broadcast(grams) if few else grams, "gram").select("id", "at", F.lit(t).alias("t"), "of")
+    return spans.join(grams, "gram").select("id", "at", F.lit(t).alias("t"), "of")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tamarisk.llm.arrow import sliced
 from tamarisk.llm.tables import shuffle_partitions, stored
 
 #: What is stripped from a line's ends, and the least number of code points of a key.
@@ -128,13 +129,13 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     to go. Rows that repeat an id are one document. Rows without an id are one document after all others (doc is
     2 ** 63 - 1). An empty table gives no rows.
     """
-    events = stored(docs.select(*_whole(id_col, text_col)).mapInArrow(_events, "h1 long, h2 long, doc long, text_key long, lines binary, n_lines long"), "lines")
+    events = stored(docs.select(*_whole(id_col, text_col)).mapInArrow(sliced(_events), "h1 long, h2 long, doc long, text_key long, lines binary, n_lines long"), "lines")
     keys = events.where("h1 IS NOT NULL").select("h1", "h2", "doc", "text_key", "lines")
     later = keys.repartitionByRange(shuffle_partitions(docs.sparkSession), "h1", "h2").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_later_documents, "doc long, text_key long, lines binary")
     known = events.where("h1 IS NULL").select("doc", "text_key", "lines", "n_lines")
     all_lost = known.unionByName(later.withColumn("n_lines", F.lit(None).cast("long")))
     lost = all_lost.groupBy("doc", "text_key").agg(F.max("n_lines").alias("n_lines"), F.collect_list(F.when(F.octet_length("lines") > 0, F.col("lines"))).alias("lost"))
-    return lost.mapInArrow(_bitmaps, "doc long, text_key long, n_lines long, n_dropped long, keep binary")
+    return lost.mapInArrow(sliced(_bitmaps), "doc long, text_key long, n_lines long, n_dropped long, keep binary")
 
 
 def _applied(text_col: str, columns: list[str]):
@@ -160,4 +161,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = own.join(found, ["_doc", "_text_key"], "left").drop("_doc", "_text_key")
     out = [*columns, "_n_lines", "_n_dropped"]
     kinds = {f.name: f for f in joined.schema}
-    return joined.mapInArrow(_applied(text_col, out), StructType([*(kinds[c] for c in out), StructField("_kept", StringType())]))
+    return joined.mapInArrow(sliced(_applied(text_col, out)), StructType([*(kinds[c] for c in out), StructField("_kept", StringType())]))

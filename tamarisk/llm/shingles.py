@@ -7,6 +7,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from tamarisk.llm.arrow import texts_of
+
 SHINGLE = 5
 
 
@@ -16,7 +18,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     A-Z are lower-cased; words are maximal runs without space, tab, line feed, vertical tab, form feed and carriage
     return. Nulls have no words.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts_of(texts)))
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     offsets = lists.offsets.to_numpy().astype(np.int64)

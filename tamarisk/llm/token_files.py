@@ -10,10 +10,12 @@ follow each other in order of document ids, and start is the number of ids befor
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tamarisk.llm.arrow import in_slices, texts_of
 from tamarisk.llm.rans import Decoder, Encoder, Table
 from tamarisk.llm.tables import shared_dir, shuffle_partitions, stored
 
 BLOCK, SEGMENT = 1 << 18, 1 << 22
+#: Characters that go through the tokenizer at a time.
+TOGETHER = 1 << 20
+#: Parts of texts that share a call of the tokenizer.
+LINES = 256
 #: A space inside or at the end of a longer run of white space (every character that any Unicode version counts as such).
 _WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ANY_WHITE = re.compile(r"[\s\u180e\u200b]")
 _RUN = rf"{_WHITE} {_WHITE}|{_WHITE} \z"
 
 
@@ -41,7 +49,7 @@ class TextEncoder:
     """
 
     #: Parts that are remembered; beyond that all are forgotten, as they only save time.
-    PARTS = 500_000
+    PARTS = 800_000
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,6 +58,8 @@ class TextEncoder:
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         kind = repr(self.tokenizer.pre_tokenizer)
         self.by_part = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -58,7 +68,7 @@ class TextEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; nulls are empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = texts_of(texts)
         odd = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False) if self.by_part else np.ones(len(texts), bool)
         out: list = [None] * len(texts)
         for i, ids in zip(np.flatnonzero(odd).tolist(), self._whole(texts.filter(pa.array(odd)).to_pylist()), strict=True):
@@ -68,8 +78,21 @@ class TextEncoder:
                 out[i] = ids
         return out
 
+    def _coded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has. A few texts at a time, as the library's results are large."""
+        ids: list[np.ndarray] = [np.zeros(0, self.dtype)]
+        sizes: list[int] = []
+        reach = np.cumsum([len(t) for t in texts]) // TOGETHER
+        bounds = [0, *(np.flatnonzero(np.diff(reach)) + 1).tolist(), len(texts)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+            sizes += map(len, found)
+            ids.append(np.fromiter(chain.from_iterable(found), self.dtype))
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, self.dtype) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids, sizes = self._coded(texts)
+        return np.split(ids, np.cumsum(sizes)[:-1]) if texts else []
 
     def _parts(self, texts: pa.Array) -> list[np.ndarray]:
         lists = pc.split_pattern(texts, " ")
@@ -92,12 +115,17 @@ class TextEncoder:
         return [np.concatenate([h, ids[a:b]]) for h, a, b in zip(heads, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def _learn(self, parts: list[str]) -> None:
-        ids = self._whole([" " + p for p in parts])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, *ids])
+        single = [p for p in parts if p and not _ANY_WHITE.search(p)] if self.line_end is not None else []
+        rest = [p for p in parts if not p or _ANY_WHITE.search(p)] if self.line_end is not None else parts
+        # parts without white space go many at a time, one a line: a line end before a space is a piece of its own
+        lined, _ = self._coded(["\n".join([" " + p for p in single[i : i + LINES]]) + "\n" for i in range(0, len(single), LINES)])
+        stop = np.flatnonzero(lined == self.line_end) if single else np.zeros(0, np.int64)
+        begins = np.concatenate([np.zeros(1, np.int64), stop[:-1] + 1])[: len(stop)]
+        ids, sizes = self._coded([" " + p for p in rest])
+        self.number.update(zip(single + rest, range(len(self.number), len(self.number) + len(parts)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.flat) + begins, len(self.flat) + len(lined) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, stop - begins, sizes])
+        self.flat = np.concatenate([self.flat, lined, ids])
 
 
 @lru_cache(maxsize=2)
@@ -141,7 +169,7 @@ def _encoded(tokenizer_json, end_id: int):
             docs, ids, number, start, held = [], [], number + 1, start + held, 0
             return out
 
-        for batch in batches:
+        for batch in in_slices(batches):
             for doc, own in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 if held and held + len(own) + 1 > SEGMENT:
                     yield flush()

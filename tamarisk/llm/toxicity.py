@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tamarisk.llm.arrow import sliced, texts_of
+
 #: Identity terms by kind and language; terms of one row are swapped for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys", "people"),
@@ -55,7 +57,7 @@ TRAIN_BYTES = 64 << 20
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Row of each word, its code, and the distinct words."""
-    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts_of(texts)))
     coded = lists.flatten().dictionary_encode()
     offsets = lists.offsets.to_numpy()
     return np.repeat(np.arange(len(texts)), np.diff(offsets)), coded.indices.to_numpy(), pc.utf8_trim(coded.dictionary, PUNCTUATION)
@@ -190,11 +192,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
-                score = model.value.score(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], [*part.schema.names[:-1], "score"])
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            score = model.value.score(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], [*batch.schema.names[:-1], "score"])
 
     return run
 
@@ -209,4 +209,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y))
     columns = [id_col] if columns is None else columns
     own = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
-    return own.mapInArrow(_scored(model), StructType([*own.schema.fields[:-1], StructField("score", DoubleType())]))
+    return own.mapInArrow(sliced(_scored(model)), StructType([*own.schema.fields[:-1], StructField("score", DoubleType())]))
