@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tamarisk.plans import inquiry_queries, retrieval_queries, text_queries
+
+QUERIES = {**retrieval_queries.QUERIES, **inquiry_queries.QUERIES, **text_queries.QUERIES}
+SQL: dict[str, str] = {**retrieval_queries.SQL, **inquiry_queries.SQL, **text_queries.SQL}
