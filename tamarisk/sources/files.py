@@ -35,10 +35,10 @@ def _read_yaml(spark: SparkSession, path: str, schema: str, key: str | None) ->
         import yaml
 
         for batch in batches:
-            rows = [r for text in batch["value"] for r in ((yaml.safe_load(text) or {}).get(key, []) if key else yaml.safe_load(text) or [])]
+            rows = [r for text in batch["value"] for r in ((yaml.safe_load(text) or {}).get(key) or [] if key else yaml.safe_load(text) or [])]
             yield pd.DataFrame({"json": [json.dumps(r, default=str) for r in rows]})
 
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.mapInPandas(parse, "json string").select(F.from_json("json", kind).alias("r")).select("r.*")
 
 
@@ -65,7 +65,7 @@ def read_cues(spark: SparkSession, path: str) -> DataFrame:
         return ((g(first) * 60 + g(first + 1)) * 60 + g(first + 2)) * 1000 + g(first + 3)
 
     raw = spark.read.option("lineSep", "\n\n").text(path).where(F.col("value").rlike(line))
-    return raw.select(ms(1).alias("start_ms"), ms(5).alias("end_ms"), F.trim(F.regexp_replace("value", rf"(?s)^.*?{line}", "")).alias("text"))
+    return raw.select(ms(1).alias("start_ms"), ms(5).alias("end_ms"), F.regexp_replace(F.regexp_replace("value", rf"(?s)^.*?{line}", ""), r"^\s+|\s+$", "").alias("text"))
 
 
 def scan_documents(spark: SparkSession, folder: str, parse: Callable[[bytes], list[str]], glob: str = "*.pdf") -> DataFrame:

@@ -50,7 +50,7 @@ def test_fixed_chunks(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab \n", max_size=400), st.integers(5, 60))
+@given(st.text(alphabet="ab \n", min_size=1, max_size=400), st.integers(5, 60))
 def test_recursive_chunks(source, size):
     overlap = size // 5
     chunks = text.recursive_chunks(source, size, overlap)
