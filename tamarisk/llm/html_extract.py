@@ -24,7 +24,7 @@ from tamarisk.llm.arrow import sliced
 from tamarisk.llm.dom import INLINE, Dom, joined, parse
 from tamarisk.llm.html_pages import labelled_page
 
-TRAIN_PAGES = 400
+TRAIN_PAGES = 1_000
 #: Elements by what their parent's label means for theirs.
 SECTIONS = {"nav", "header", "footer", "aside", "form", "article", "main", "section", "body", "html"}
 _NAME = re.compile(r"[a-z]+")
