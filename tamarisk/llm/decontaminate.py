@@ -21,6 +21,8 @@ from tamarisk.llm.tables import ascii_lower, stored, whole_text
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: An item table of at most so many fingerprints is broadcast (16 bytes each); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: So many ids are broadcast to pick the texts with hits (8 bytes each); more are joined by a shuffle of the texts.
+BROADCAST_IDS = 2_000_000
 #: A fingerprint is 33 bits of hash over 30 of position: no text that Spark can hold has more than 2 ** 30 words, and
 #: chance hits of the hash end in the comparison of words.
 POSITION_BITS, POSITION_MASK, HASH_MASK = 30, (1 << 30) - 1, (1 << 33) - 1
@@ -118,6 +120,9 @@ def _hits(docs: DataFrame, marked: DataFrame, grams: DataFrame, t: int) -> DataF
     # every window of t words that covers the k words at p
     starts = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(F.greatest(p - (t - k), F.lit(0)), p))))
     places = marked.where(F.size("ps") > 0).select(F.col("id").alias("place_id"), starts.alias("starts"))
-    near = docs.join(places, F.col("id").eqNullSafe(F.col("place_id"))).select("id", words(F.col("text")).alias("ws"), "starts")
+    # texts without a hit are left where they are
+    ids = stored(places.select("place_id"), "hit-ids")
+    wanted = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    near = docs.join(wanted, F.col("id").eqNullSafe(F.col("place_id")), "left_semi").join(places, F.col("id").eqNullSafe(F.col("place_id"))).select("id", words(F.col("text")).alias("ws"), "starts")
     spans = near.select("id", F.explode(F.transform("starts", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("ws", i + 1, t), " ").alias("gram"), (i + t <= F.size("ws")).alias("whole")))).alias("x")).where("x.whole").select("id", "x.at", "x.gram")
     return spans.join(grams, "gram").select("id", "at", F.lit(t).alias("t"), "of")
