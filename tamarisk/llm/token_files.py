@@ -10,7 +10,6 @@ follow each other in order of document ids, and start is the number of ids befor
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,7 +35,7 @@ TOGETHER = 1 << 20
 LINES = 256
 #: A space inside or at the end of a longer run of white space (every character that any Unicode version counts as such).
 _WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_ANY_WHITE = re.compile(r"[\s\u180e\u200b]")
+_ANY_WHITE = _WHITE
 _RUN = rf"{_WHITE} {_WHITE}|{_WHITE} \z"
 
 
@@ -49,7 +48,7 @@ class TextEncoder:
     """
 
     #: Parts that are remembered; beyond that all are forgotten, as they only save time.
-    PARTS = 800_000
+    PARTS = 1_000_000
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -63,7 +62,7 @@ class TextEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.flat, self.begin, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -99,12 +98,14 @@ class TextEncoder:
         coded = lists.flatten().dictionary_encode()
         offsets = lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
-        parts = coded.dictionary.to_pylist()
-        if len(self.number) > self.PARTS:
+        if len(self.known) > self.PARTS:
             self._forget()
-        fresh = [p for p in parts if p not in self.number]
-        self._learn(fresh)
-        of_part = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))[coded.indices.to_numpy()]
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        fresh = pc.is_null(place)
+        before = len(self.known)
+        number = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        number[fresh.to_numpy(zero_copy_only=False)] = before + self._learn(coded.dictionary.filter(fresh))
+        of_part = number[coded.indices.to_numpy()]
         # what stands before the first space has none of its own
         heads = self._whole([coded.dictionary[c].as_py() for c in coded.indices.to_numpy()[offsets[:-1]].tolist()])
         sizes, begins = self.size[of_part], self.begin[of_part]
@@ -114,18 +115,27 @@ class TextEncoder:
         cuts = np.concatenate([[0], ends])[offsets]
         return [np.concatenate([h, ids[a:b]]) for h, a, b in zip(heads, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
-    def _learn(self, parts: list[str]) -> None:
-        single = [p for p in parts if p and not _ANY_WHITE.search(p)] if self.line_end is not None else []
-        rest = [p for p in parts if not p or _ANY_WHITE.search(p)] if self.line_end is not None else parts
+    def _learn(self, parts: pa.Array) -> np.ndarray:
+        """Remember new parts; gives the order in which they are numbered."""
+        apart = pc.or_(pc.match_substring_regex(parts, _ANY_WHITE), pc.equal(parts, "")).to_numpy(zero_copy_only=False)
+        if self.line_end is None:
+            apart[:] = True
         # parts without white space go many at a time, one a line: a line end before a space is a piece of its own
-        lined, _ = self._coded(["\n".join([" " + p for p in single[i : i + LINES]]) + "\n" for i in range(0, len(single), LINES)])
-        stop = np.flatnonzero(lined == self.line_end) if single else np.zeros(0, np.int64)
+        single = parts.filter(pa.array(~apart))
+        bounds = np.append(np.arange(0, len(single), LINES), len(single))
+        lines = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), single.cast(pa.string())) if len(single) else pa.array([], pa.list_(pa.string()))
+        lined, _ = self._coded([f" {x}\n" for x in pc.binary_join(lines, "\n ").to_pylist()])
+        stop = np.flatnonzero(lined == self.line_end) if len(single) else np.zeros(0, np.int64)
         begins = np.concatenate([np.zeros(1, np.int64), stop[:-1] + 1])[: len(stop)]
-        ids, sizes = self._coded([" " + p for p in rest])
-        self.number.update(zip(single + rest, range(len(self.number), len(self.number) + len(parts)), strict=True))
+        rest = parts.filter(pa.array(apart))
+        ids, sizes = self._coded([" " + p for p in rest.to_pylist()])
+        self.known = pa.concat_arrays([self.known, single, rest])
         self.begin = np.concatenate([self.begin, len(self.flat) + begins, len(self.flat) + len(lined) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, stop - begins, sizes])
         self.flat = np.concatenate([self.flat, lined, ids])
+        order = np.empty(len(parts), np.int64)
+        order[np.concatenate([np.flatnonzero(~apart), np.flatnonzero(apart)])] = np.arange(len(parts))
+        return order
 
 
 @lru_cache(maxsize=2)
