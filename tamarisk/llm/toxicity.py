@@ -48,11 +48,13 @@ CARRIERS = ("many {} live in this town", "the {} were here yesterday", "viele {}
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’–—…¿¡"
 
 PREFIXES = (4, 5, 6)
-SPACE = 1 << 22
+SPACE = 1 << 20
+#: Texts that are counted at a time.
+CHUNK = 250
 #: At most so many labelled texts are fitted on, those of the least hash of their id.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 #: And at most so many bytes of text, of which the rest of a longer sample is left out, again by the hash of the id.
-TRAIN_BYTES = 64 << 20
+TRAIN_BYTES = 32 << 20
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -121,16 +123,23 @@ def _swaps(texts: list[str]) -> tuple[list[str], list[str]]:
     return before, after
 
 
+def _chunks(texts: list[str], known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Presence a few texts at a time: place of the first, rows, features."""
+    for at in range(0, len(texts), CHUNK):
+        yield at, *presence(pa.array(texts[at : at + CHUNK], pa.large_string()), known)
+
+
 def fit(texts: list[str], labels: np.ndarray, significance: float = 3.0, ridge: float = 0.1, swap_weight: float = 1.0, steps: int = 400) -> Model:
     """labels are 0 or 1. Without both classes the score is the smoothed share of label 1 for every text."""
     labels = labels.astype(np.float64)
     prior = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     if not 0 < labels.sum() < len(labels):
         return Model(np.zeros(0, np.int64), np.zeros(0), prior)
-    column = pa.array(texts, pa.large_string())
-    rows, features = presence(column)
-    positive = np.bincount(features[labels[rows] > 0], minlength=SPACE)
-    negative = np.bincount(features[labels[rows] == 0], minlength=SPACE)
+    positive, negative = np.zeros(SPACE, np.int64), np.zeros(SPACE, np.int64)
+    for at, rows, features in _chunks(texts):
+        toxic = labels[at + rows] > 0
+        np.add.at(positive, features[toxic], 1)
+        np.add.at(negative, features[~toxic], 1)
     p, q = labels.sum(), len(labels) - labels.sum()
     odds = np.log((positive + 0.5) / (p + 1 - np.minimum(positive, p) + 0.5)) - np.log((negative + 0.5) / (q + 1 - np.minimum(negative, q) + 0.5))
     spread = np.sqrt(1 / (positive + 0.5) + 1 / (negative + 0.5))
@@ -143,8 +152,8 @@ def fit(texts: list[str], labels: np.ndarray, significance: float = 3.0, ridge:
     swap_row = np.concatenate([r for (r, _), _ in signs])
     swap_col = np.concatenate([c for (_, c), _ in signs])
     swap_sign = np.concatenate([np.full(len(r), s) for (r, _), s in signs])
-    keep = np.isin(features, known)
-    row, col = rows[keep], np.searchsorted(known, features[keep])
+    found = [(at + rows, places) for at, rows, places in _chunks(texts, known)]
+    row, col = (np.concatenate(x) for x in zip(*found, strict=True))
     carriers = pa.array([c.format(t) for c in CARRIERS for kind in IDENTITY for t in kind], pa.large_string())
     extra_row, extra_col = presence(carriers, known)
     row, col = np.concatenate([row, extra_row + len(labels)]), np.concatenate([col, extra_col])
