@@ -59,24 +59,22 @@ class Corpus:
         stats = words.select("doc_id", F.size("words").alias("length"), _norm(F.col("words")).alias("norm"))
         self.postings = found.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(stats, "doc_id").persist()
 
-    def bm25(self, k: int = 20) -> DataFrame:
         n, mean = float(self.size["n"] or 0), float(self.size["mean"] or 1) or 1.0
         df = self.postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-        rows = self.terms.select("query_id", "term").join(df, "term").join(self.postings, "term")
-        return best(rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), DIGITS).alias("score")), k)
+        lengths = self.terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).cast("double")).alias("qnorm"))
+        met = self.terms.join(df, "term").join(self.postings, "term").groupBy("query_id", "doc_id")
+        # one pass over the matches gives what every ranking needs
+        sums = met.agg(F.sum(weight).alias("bm25"), F.sum(F.col("qtf") * F.col("tf")).cast("double").alias("dot"), F.first("norm").alias("norm"), F.count("*").alias("coverage"))
+        self.scores = sums.join(lengths, "query_id").select("query_id", "doc_id", F.round("bm25", DIGITS).alias("bm25"), F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), DIGITS).alias("cosine"), "coverage").persist()
+
+    def bm25(self, k: int = 20) -> DataFrame:
+        return best(self.scores.select("query_id", "doc_id", F.col("bm25").alias("score")), k)
 
     def cosine(self, k: int = 20) -> DataFrame:
         """Cosine of term-frequency vectors: the default embedding."""
-        lengths = self.terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).cast("double")).alias("qnorm"))
-        rows = self.terms.join(self.postings, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("tf")).cast("double").alias("dot"), F.first("norm").alias("norm"))
-        scored = rows.join(lengths, "query_id").select("query_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), DIGITS).alias("score"))
-        return best(scored, k)
-
-    def coverage(self) -> DataFrame:
-        """(query_id, doc_id, coverage): distinct query words that a document holds."""
-        return self.terms.join(self.postings, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("coverage"))
+        return best(self.scores.select("query_id", "doc_id", F.col("cosine").alias("score")), k)
 
 
 def _blocks(df: DataFrame, name: str) -> DataFrame:

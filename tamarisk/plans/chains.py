@@ -52,10 +52,7 @@ def rag_fusion(questions: DataFrame, corpus: DataFrame, **_) -> DataFrame:
 def rerank(questions: DataFrame, corpus: DataFrame, **_) -> DataFrame:
     """Twenty candidates, ordered anew by the words they cover, then by BM25; five stay. score is the coverage."""
     index = Corpus(corpus, _asked(questions))
-    candidates = index.cosine(20).select("query_id", "doc_id")
-    # beyond any rank: all scores, so that every candidate has one
-    lexical = index.bm25(1 << 30).select("query_id", "doc_id", F.col("score").alias("bm25"))
-    scored = candidates.join(index.coverage(), ["query_id", "doc_id"]).join(lexical, ["query_id", "doc_id"])
+    scored = index.cosine(20).select("query_id", "doc_id").join(index.scores, ["query_id", "doc_id"])
     w = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("bm25"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("query_id", "doc_id", F.col("coverage").cast("double").alias("score"), "rank")
 
