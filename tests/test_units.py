@@ -171,3 +171,36 @@ def test_streams(spark, tmp_path):
     threads.enrich_stream(stream, str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
     out = {r.id: (r.topic, r.draft is None) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out == {"1": ("spam", True), "2": ("development", False)}
+
+
+def test_index_and_facts(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "vec_id long, embedding array<float>")
+    files.rebuild_index(rows, str(tmp_path / "i"))
+    files.rebuild_index(rows, str(tmp_path / "i"))
+    index = files.open_index(spark, str(tmp_path / "i"))
+    assert index.count() == 2 and [r.doc_id for r in vector_top_k(index.where("vec_id = 1"), index).collect()] == [1]
+    facts = spark.createDataFrame([("c", "politeness", 1.0)], "call_id string, key string, value double")
+    files.append_facts(facts, str(tmp_path / "f"))
+    files.append_facts(facts, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).where("call_id = 'c'").count() == 2
+
+
+def test_decode_and_update(spark):
+    raw = spark.createDataFrame([("1", '{"subject":"s","body":"b"}', "", 1, None)], "id string, ai_response string, final_response string, operator_edited_topic int, quality_alert int")
+    row = inquiries.decode(raw).first()
+    assert (row.ai_response.body, row.final_response, row.operator_edited_topic, row.quality_alert) == ("b", None, True, False)
+    current = spark.createDataFrame([("1", "draft", "x"), ("2", "sent", "y")], "id string, status string, topic string")
+    changes = spark.createDataFrame([("1", "sent", None), ("3", "draft", "z")], "id string, status string, topic string")
+    assert sorted(tuple(r) for r in inquiries.apply_updates(current, changes).collect()) == [("1", "sent", "x"), ("2", "sent", "y"), ("3", "draft", "z")]
+    assert inquiries.lookup(current, "id", "2").count() == 1
+    inquiries.create_table(spark, "inquiries_test")
+    assert "weave_call_id" in spark.table("inquiries_test").columns
+
+
+def test_models_can_be_replaced():
+    own = models.REGISTRY["select_route"]
+    try:
+        models.use("select_route", lambda question: F.lit("web"))
+        assert models.model("select_route") is not own
+    finally:
+        models.use("select_route", own)
