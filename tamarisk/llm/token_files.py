@@ -10,6 +10,7 @@ follow each other in order of document ids, and start is the number of ids befor
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -44,7 +45,8 @@ class TextEncoder:
 
     Byte-level BPE codes a text piece by piece, and a space can only begin a piece, unless it is in a longer run of white
     space. So a text without such runs may be cut before every space; each distinct part then goes through the tokenizer
-    once and is remembered. Other texts, and all texts for tokenizers of another kind, go through it whole.
+    once and is remembered. Other texts, those that hold an added token, and all texts for tokenizers of another kind go
+    through it whole.
     """
 
     #: Parts that are remembered; beyond that all are forgotten, as they only save time.
@@ -53,12 +55,14 @@ class TextEncoder:
     def __init__(self, tokenizer_json: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         kind = repr(self.tokenizer.pre_tokenizer)
         self.by_part = kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind and self.tokenizer.normalizer is None
         line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_end = line_end[0] if len(line_end) == 1 else None
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = "|".join(map(re.escape, added))
+        # an added token with white space in it could arise where parts are joined by lines
+        self.line_end = line_end[0] if len(line_end) == 1 and not any(any(c.isspace() for c in t) for t in added) else None
         self._forget()
 
     def _forget(self) -> None:
@@ -69,6 +73,8 @@ class TextEncoder:
         """The ids of each text; nulls are empty."""
         texts = texts_of(texts)
         odd = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False) if self.by_part else np.ones(len(texts), bool)
+        if self.by_part and self.added:
+            odd = odd | pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
         for i, ids in zip(np.flatnonzero(odd).tolist(), self._whole(texts.filter(pa.array(odd)).to_pylist()), strict=True):
             out[i] = ids

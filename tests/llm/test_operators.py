@@ -253,3 +253,22 @@ def test_tokens(spark, tmp_path):
     assert np.frombuffer(rows[1].ids, "<u4").tolist() == [*want[0], 0] and np.frombuffer(rows[-1].ids, "<u4").tolist() == [0]
     write_tokens(table(spark, []), str(tmp_path / "e"), text)
     assert read_tokens(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_tokens_added(spark, tmp_path):
+    """Texts that hold an added token get the ids of a plain call, and so do their neighbours."""
+    import public_tokenizers
+    from tokenizers import AddedToken, Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, text = Tokenizer.from_file(path), open(path, encoding="utf-8").read()
+    docs = [(0, "a <|endoftext|> b"), (1, "<|endoftext|>"), (2, "x<|endoftext|><|endoftext|>\n y  z"), (3, "a <|endoftext | > b"), (4, "a b c d"), (5, "")]
+    want = [plain.encode(t, add_special_tokens=False).ids for _, t in docs]
+    assert want[0] == [64, 220, 50256, 275] and [x.tolist() for x in TextEncoder(text).encode(pa.array([t for _, t in docs]))] == want
+    write_tokens(table(spark, docs), str(tmp_path / "t"), text)
+    rows = {x.doc_id: x for x in read_tokens(spark, str(tmp_path / "t")).collect()}
+    assert [np.frombuffer(rows[i].ids, "<u4").tolist() for i, _ in docs] == [[*x, 0] for x in want]
+    assert [rows[i].start for i, _ in docs] == np.cumsum([0, *(len(x) + 1 for x in want)])[:-1].tolist()
+    plain.add_tokens([AddedToken("d\n e"), AddedToken("q.(r")])
+    texts = ["c d e f", "c d\n e f", "a q.(r b", "a qx(r b", "d e d e"]
+    assert [x.tolist() for x in TextEncoder(plain.to_str()).encode(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
