@@ -7,14 +7,24 @@ from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Their contents are never text of the page.
-SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "math", "iframe", "object", "select", "textarea", "button"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img"}
+SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "select", "textarea", "button"}
+#: What a head may hold. Anything else ends it, as its end tag may be left out.
+HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head", "html"}
+MATH = {
+    "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "menclose", "mfenced", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts",
+    "none", "mtable", "mtr", "mlabeledtr", "mtd", "maction", "semantics", "annotation", "annotation-xml",
+}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "object", "param"} | MATH
+#: Elements in which a start tag may end itself.
+FOREIGN = {"svg", "math"}
 #: A start tag of the first closes an open element of the second, unless one of the third stands between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}),
 }
 _SPACE = re.compile(r"\s+")
+#: Beyond every code point, and too long for int().
+_LONG_REF = re.compile(r"&#[0-9]{4000,};?")
 
 
 class Dom(HTMLParser):
@@ -28,6 +38,10 @@ class Dom(HTMLParser):
         self.chunks: list[tuple[int, int, str]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body":
+            self._leave({"head"}, set())
+        elif tag not in HEAD:
+            self._end_head()
         if tag == "br" or tag == "wbr":
             self.chunks.append((self.block, self.open[-1], " " if tag == "br" else ""))
             return
@@ -48,6 +62,13 @@ class Dom(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and any(self.tag[x] in FOREIGN for x in self.open):
+            self.handle_endtag(tag)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """To the next '>', as browsers do, whatever is declared; the parser itself stops at names that it doesn't know."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -56,7 +77,7 @@ class Dom(HTMLParser):
                     self.block += 1
                 del self.open[i:]
                 return
-            if tag in INLINE and self.tag[self.open[i]] not in INLINE:
+            if tag in INLINE and tag not in ("math", "object") and self.tag[self.open[i]] not in INLINE:
                 return  # an inline end tag doesn't reach beyond its block
 
     def _leave(self, tags: set[str], within: set[str]) -> None:
@@ -69,18 +90,22 @@ class Dom(HTMLParser):
             if name in within:
                 return
 
+    def _end_head(self) -> None:
+        if self.tag[self.open[-1]] == "head":
+            del self.open[-1]
+            self.block += 1
+
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if not any(self.tag[x] in SILENT for x in self.open):
             self.chunks.append((self.block, self.open[-1], data))
 
 
 def parse(html: str) -> Dom:
     dom = Dom()
-    try:
-        dom.feed(html)
-        dom.close()
-    except (AssertionError, ValueError):  # markup that the parser can't take: what was read before it stays
-        pass
+    dom.feed(_LONG_REF.sub("\ufffd", html))
+    dom.close()
     return dom
 
 

@@ -194,6 +194,35 @@ def test_html():
     assert html_extract.extract([page, "", "<"], weights)[:2] == ["T & t\n\nOne two three\n\nFour é", ""]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><meta charset=x><body><article><p>One</article>", "One"),
+        ("<head><title>t</title><style>s</style><article><p>One</article>", "One"),
+        ("<head><title>t</title>\n One", "One"),
+        ("<head><title>t<body><p>One", "One"),
+        ("<head><script>s</script></head><p>One", "One"),
+        ("<p>One</p><![foo bar><p>Two", "One\n\nTwo"),
+        ("<p>One</p><![ if x><p>Two<![endif]><p>Three", "One\n\nTwo\n\nThree"),
+        ("<p>One</p><![if gte mso 9><p>Two<![endif]><p>Three", "One\n\nTwo\n\nThree"),
+        ("<p>One</p><!foo><p>Two &#" + "9" * 5000 + "; on", "One\n\nTwo \ufffd on"),
+        ("<p>Be <math><mi>x</mi><mspace/><msup><mn>2</mn></msup></math> so<p>Two", "Be x2 so\n\nTwo"),
+        ("<p>One <object data=x><param name=y>instead</object> on<p>Two", "One instead on\n\nTwo"),
+        ("<p>One <svg/> on <svg><path/><text>no</text></svg>end", "One\n\non\n\nend"),
+    ],
+)
+def test_whole_pages(page, want):
+    """All that stands in the page reaches the model."""
+    assert dom.joined(dom.parse(page).chunks) == want
+
+
+def test_main_text_after_odd_markup():
+    article = "<article><h1>Title</h1><p>One sentence, and another. <math><mi>x</mi></math> is <object>a number</object>, of course.</p></article>"
+    want = "Title\n\nOne sentence, and another. x is a number, of course."
+    for page in (f"<head><title>t</title><body>{article}", f"<body><![foo>{article}"):
+        assert html_extract.extract([page], html_extract.default_weights()) == [want]
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(0)
     parent = np.array([-1, 0, 0, 1, 1, 2])
