@@ -1,7 +1,7 @@
 """URL verdicts: explicit rules, and gradient-boosted trees on lexical features for all others (DataFrame operations only).
 
-The trees are trained here, on labelled URLs: those that a rule decides, at most TRAIN_ROWS of them by the hash of the
-URL. Features are lengths, depth, digit ratio, character entropy, counts of parameters, labels and hyphens, and the
+The trees are trained here, on labelled URLs: those that a rule decides, each once, at most TRAIN_ROWS of them by the hash
+of the URL, of which either verdict has half if it needs them. Features are lengths, depth, digit ratio, character entropy, counts of parameters, labels and hyphens, and the
 smoothed share of blocked URLs among training URLs with the same host suffix.
 """
 
@@ -75,7 +75,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     rows = pages.select(*own, F.col(url_col).cast("string").alias("_url"), host(F.col(url_col).cast("string")).alias("_host"), path(F.col(url_col).cast("string")).alias("_path"))
     rows = rows.withColumns({"_rule": rule_column(rules, at, way, 1), "_by_rule": rule_column(rules, at, way, 0)})
     labelled = rows.where(F.col("_by_rule").isNotNull()).select("_url", "_host", "_path", (F.col("_by_rule") == "block").cast("double").alias("label"))
-    sample = stored(with_features(labelled.orderBy(F.xxhash64("_url"), "_url").limit(train_rows), "_url", "_host", "_path"), "urls")
+    first = lambda df, verdict, n: df.where(F.col("label") == verdict).orderBy(F.xxhash64("_url"), "_url").limit(n)
+    distinct = labelled.distinct()
+    near = stored(first(distinct, 0, train_rows).unionByName(first(distinct, 1, train_rows)), "urls")
+    there = {r.label: r.n for r in near.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    parts = [first(near, own, max(train_rows // 2, train_rows - there.get(other, 0))) for own, other in ((0.0, 1.0), (1.0, 0.0))]
+    sample = stored(with_features(parts[0].unionByName(parts[1]), "_url", "_host", "_path"), "urls")
     both = sample.agg(F.min("label").alias("least"), F.max("label").alias("most"), F.avg("label").alias("mean")).first()
     result = [*columns, at.alias("host"), way.alias("path"), F.col("_rule").alias("rule")]
     if both.least is None or both.least == both.most:

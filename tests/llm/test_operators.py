@@ -179,6 +179,17 @@ def test_urls(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
 
 
+def test_urls_repeated(spark):
+    """A URL that repeats takes one place in the training sample, and both verdicts keep theirs."""
+    rules = [("allow", "com/"), ("block", "net/")]
+    hot = [f"http://hot{i}.com/" for i in range(3)]
+    rest = [f"http://h{i}.{t}/p{i}" for i in range(40) for t in ("com", "net")] + [f"http://only{i}.{t}/" for i in range(30) for t in ("com", "org")]
+    judged = lambda urls, n: {x.url: x.verdict for x in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, columns=("url",), train_rows=n).collect()}
+    assert judged(hot * 200 + rest, 60) == judged(hot + rest, 60)
+    few = judged([f"http://a{i}.com/" for i in range(300)] + ["http://b.net/x", "http://c.net.org/x", "http://d.org/"], 20)
+    assert few["http://b.net/x"] == "block" and set(few.values()) == {"allow", "block"}
+
+
 def test_html():
     weights = html_extract.default_weights()
     right = 0
