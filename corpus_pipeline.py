@@ -19,8 +19,8 @@ WHITE = r"[\x20\x09-\x0D]"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below 0.5."""
-    return toxicity(docs, table(spark, sf_dir, "labels"), columns=list(COLUMNS)).where("score < 0.5").drop("score")
+    """Documents that the classifier does not call toxic."""
+    return toxicity(docs, table(spark, sf_dir, "labels"), columns=list(COLUMNS)).where("NOT toxic").drop("score", "toxic")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from tamarisk.llm.toxicity import held_out, toxicity
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", F.col("toxic").cast("int").alias("predicted"))
 
 
 QUERIES = {"op2_toxicity": op2_toxicity}

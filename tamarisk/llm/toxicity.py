@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tamarisk.llm.arrow import sliced, texts_of
 
@@ -53,8 +53,10 @@ SPACE = 1 << 20
 CHUNK = 250
 #: At most so many labelled texts are fitted on, those of the least hash of their id.
 TRAIN_ROWS = 8_000
-#: And at most so many bytes of text, of which the rest of a longer sample is left out, again by the hash of the id.
+#: And at most so many bytes of text; a text that no longer fits is passed over.
 TRAIN_BYTES = 32 << 20
+#: Of these, each class has one part in so many of the rows, and a quarter of the bytes, for itself.
+CLASS_PART = 32
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -101,6 +103,8 @@ class Model:
     known: np.ndarray
     weight: np.ndarray
     bias: float
+    #: Whether there were labels of both classes; without, nothing is known against any text.
+    learnt: bool = True
 
     def score(self, texts: pa.Array) -> np.ndarray:
         rows, places = presence(texts, self.known)
@@ -134,7 +138,7 @@ def fit(texts: list[str], labels: np.ndarray, significance: float = 3.0, ridge:
     labels = labels.astype(np.float64)
     prior = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     if not 0 < labels.sum() < len(labels):
-        return Model(np.zeros(0, np.int64), np.zeros(0), prior)
+        return Model(np.zeros(0, np.int64), np.zeros(0), prior, False)
     positive, negative = np.zeros(SPACE, np.int64), np.zeros(SPACE, np.int64)
     for at, rows, features in _chunks(texts):
         toxic = labels[at + rows] > 0
@@ -180,22 +184,48 @@ def held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """At most `most` labelled texts outside the held-out fifth, those of the least hash of their id; rows without an id or
-    a label, and labels other than 0 and 1, are left out."""
+def sampled(rows: list[tuple[int, int]], most: int, most_bytes: int) -> list[int]:
+    """Places of the (label, bytes) rows that are fitted on, in order: the first ones that fit, passing over those that
+    don't; but both classes are there as long as each has a text that fits."""
+    taken: set[int] = set()
+    size = 0
+
+    def take(places: list[int], count: int, limit: int) -> None:
+        nonlocal size
+        for i in places:
+            if count <= 0:
+                return
+            if i not in taken and rows[i][1] <= limit:
+                taken.add(i)
+                count, limit, size = count - 1, limit - rows[i][1], size + rows[i][1]
+
+    classes = [[i for i, r in enumerate(rows) if r[0] == y] for y in (0, 1)]
+    for own in classes:
+        take(own, max(1, most // CLASS_PART), most_bytes // 4)
+    for own in classes:  # one with long texts only: its shortest
+        if not taken.intersection(own):
+            take(sorted(own, key=lambda i: rows[i][1])[:1], 1, most_bytes - size)
+    take(list(range(len(rows))), most - len(taken), most_bytes - size)
+    return sorted(taken)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], np.ndarray]:
+    """At most `most` labelled texts outside the held-out fifth, those of the least hash of their id, and at most
+    `most_bytes` of text; rows without an id or a label, and labels other than 0 and 1, are left out."""
     own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    picked = own.where(~held_out("id")).orderBy(F.xxhash64("id"), "id").limit(most)
+    first = [own.where(~held_out("id") & (F.col("y") == y)).orderBy(F.xxhash64("id"), "id").limit(most) for y in (0, 1)]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # one text for each id, so that the sample stays within its bound whatever repeats
-    chosen = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
-    out, y, size = [], [], 0
-    for r in chosen.orderBy(F.xxhash64("id"), "id").toLocalIterator():
-        size += len(r.text.encode())
-        if size > TRAIN_BYTES:
-            break
-        out.append(r.text)
-        y.append(r.y)
-    return out, np.array(y, np.int64)
+    # one text for each id, the shortest, so that the sample stays within its bound whatever repeats; only sizes are
+    # compared before it is known which texts fit
+    sizes = texts.join(F.broadcast(first[0].unionByName(first[1])), "id").groupBy("id").agg(F.min(F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("code"))).alias("t"), F.first("y").alias("y"))
+    found = sizes.select("id", "y", "t.size", "t.code").orderBy(F.xxhash64("id"), "id").collect()
+    picked = [found[i] for i in sampled([(r.y, r.size) for r in found], most, most_bytes)]
+    if not picked:
+        return [], np.zeros(0, np.int64)
+    chosen = docs.sparkSession.createDataFrame([(r.id, r.code) for r in picked], "id long, code long")
+    hit = texts.withColumn("code", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "code"]).groupBy("id").agg(F.min("text").alias("text"))
+    by_id = {r.id: r.text for r in hit.collect()}
+    return [by_id[r.id] for r in picked], np.array([r.y for r in picked], np.int64)
 
 
 def _scored(model):
@@ -203,19 +233,21 @@ def _scored(model):
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             score = model.value.score(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], [*batch.schema.names[:-1], "score"])
+            toxic = (score >= 0.5) & model.value.learnt
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(toxic)], [*batch.schema.names[:-1], "score", "toxic"])
 
     return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """The named columns (the id unless given) of every row, and score (0 to 1, higher: toxic is likelier).
+    """The named columns (the id unless given) of every row, score (0 to 1, higher: toxic is likelier), and toxic (from 0.5).
 
     The score depends on the text alone. Null and empty texts get the score of a text without known words. Repeated
-    labels of an id count as toxic if any is. Without labels of both classes all texts get the share of toxic ones.
+    labels of an id count as toxic if any is. Without labels of both classes all texts get the share of toxic ones,
+    and none is called toxic.
     """
     texts, y = training_rows(docs, labels, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y))
     columns = [id_col] if columns is None else columns
     own = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
-    return own.mapInArrow(sliced(_scored(model)), StructType([*own.schema.fields[:-1], StructField("score", DoubleType())]))
+    return own.mapInArrow(sliced(_scored(model)), StructType([*own.schema.fields[:-1], StructField("score", DoubleType()), StructField("toxic", BooleanType())]))

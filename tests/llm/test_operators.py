@@ -145,6 +145,30 @@ def test_toxicity(spark):
     assert [x.score for x in none] == [0.5] * 3
 
 
+def test_toxicity_sample(spark):
+    """Long texts are passed over, whatever their place; both classes stay in."""
+    docs = [(i, "x" * (900 if i % 2 else 5)) for i in range(60)]
+    labels = [(i, int(i % 10 == 0)) for i in range(60)]
+    as_table = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    texts, y = toxicity.training_rows(table(spark, docs), as_table(labels), most_bytes=200)
+    whole, _ = toxicity.training_rows(table(spark, docs), as_table(labels))
+    assert set(map(len, texts)) == {5} and len(texts) == sum(len(t) == 5 for t in whole) > 15 and set(y) == {0, 1}
+    assert len(whole) == len(toxicity.training_rows(table(spark, docs * 2), as_table(labels * 2))[0]) > 40
+    rare = toxicity.training_rows(table(spark, docs), as_table([(i, int(i == 7)) for i in range(60) if i != 7] + [(8, 1)]), most=4)
+    assert len(rare[0]) == 4 and set(rare[1]) == {0, 1}
+    assert toxicity.sampled([(0, 20)] * 9 + [(1, 60)], 8, 100) == [0, 1, 9]
+
+
+def test_toxicity_without_both_classes(spark, monkeypatch):
+    """Nothing is rejected."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    for labels in ([], [(i, 1) for i in range(20)], [(i, 0) for i in range(20)]):
+        monkeypatch.setattr(corpus_pipeline, "table", lambda *_, rows=labels: spark.createDataFrame(rows, "doc_id long, toxic int"))
+        assert corpus_pipeline.drop_toxic(spark, docs, "").count() == 20
+
+
 def test_packing(spark):
     r = random.Random(2)
     lengths = [r.choice((0, 1, 700, 1024, 3000, r.randrange(1, 16_384))) for _ in range(500)]
