@@ -64,6 +64,13 @@ def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", F.round(scalars.edit_similarity(F.col("c_name"), F.col("c_mktsegment")), 6).alias("edit_similarity"))
 
 
+def edit_similarity_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each turn's whole text and that of the next: how alike they are, by characters. No SQL: DuckDB's levenshtein counts bytes."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    return turns.join(following, ["conv_id", "turn"]).select("conv_id", "turn", F.round(scalars.edit_similarity(F.col("text"), F.col("next_text")), 6).alias("edit_similarity"))
+
+
 def tool_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = spark.createDataFrame(list(TOOLS.items()), "event_type string, tool string")
     return conversations.dispatched(load(spark, sf_dir, "events"), tools, "event_type").groupBy("event_type", "tool").agg(F.count("*").alias("n"))
@@ -104,7 +111,7 @@ def split_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_fixed, chunk_recursive, citation_label, token_stream, token_accumulate, last_message, new_messages_since, distinct_first_seen, last_state, edit_similarity, tool_dispatch, tool_orphans, rejected_calls,
+    chunk_fixed, chunk_recursive, citation_label, token_stream, token_accumulate, last_message, new_messages_since, distinct_first_seen, last_state, edit_similarity, edit_similarity_turns, tool_dispatch, tool_orphans, rejected_calls,
     forbidden_content, hallucination, thread_states, split_functions,
 )}
 _TOKENS = "SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), '')) AS token FROM conversations"

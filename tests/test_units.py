@@ -204,3 +204,22 @@ def test_models_can_be_replaced():
         assert models.model("select_route") is not own
     finally:
         models.use("select_route", own)
+
+
+def test_edit_similarity_turns(spark, tmp_path):
+    """Whole texts against plain dynamic programming."""
+    from tamarisk.plans import text_queries
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    turns = [(1, 0, "a draft of äb " * 60), (1, 1, "the draft of äb that was sent " * 40), (1, 2, ""), (1, 3, None), (2, 0, "日本"), (2, 1, "日"), (3, 0, "alone")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): r.edit_similarity for r in text_queries.QUERIES["edit_similarity_turns"](spark, str(tmp_path)).collect()}
+    text = {(c, n): t or "" for c, n, t in turns}
+    assert got == {k: round(1 - distance(t, text[k[0], k[1] + 1]) / max(len(t), len(text[k[0], k[1] + 1]), 1), 6) for k, t in text.items() if (k[0], k[1] + 1) in text}
