@@ -25,7 +25,13 @@ def _rocksdb(spark: SparkSession):
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.readStream.schema(load(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """The table as a stream, be it a folder of part files or one file, which a stream can only find by its name."""
+    own = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(load(spark, sf_dir, name).schema)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return stream.parquet(own)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def _kept(stream: DataFrame, mode: str, folder: str) -> None:

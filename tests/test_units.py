@@ -223,3 +223,19 @@ def test_edit_similarity_turns(spark, tmp_path):
     got = {(r.conv_id, r.turn): r.edit_similarity for r in text_queries.QUERIES["edit_similarity_turns"](spark, str(tmp_path)).collect()}
     text = {(c, n): t or "" for c, n, t in turns}
     assert got == {k: round(1 - distance(t, text[k[0], k[1] + 1]) / max(len(t), len(text[k[0], k[1] + 1]), 1), 6) for k, t in text.items() if (k[0], k[1] + 1) in text}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_tables(spark, tmp_path, parts):
+    """Streams read a table that is one file, and one that is a folder of part files."""
+    from pathlib import Path
+
+    from tamarisk.plans import stream_queries
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    own = tmp_path / "events.parquet"
+    if parts > 1:
+        events.repartition(parts).write.parquet(str(own))
+    else:
+        own.write_bytes(Path("/root/testdata/sf0.001/events.parquet").read_bytes())
+    assert stream_queries.QUERIES["windowed_events"](spark, str(tmp_path)).agg({"n": "sum"}).first()[0] == events.count()
