@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tamarisk.llm import arrow, chat_format, dom, html_extract, html_pages, packing, rans, toxicity, url_filter
@@ -210,8 +211,13 @@ def test_urls_repeated(spark):
     rest = [f"http://h{i}.{t}/p{i}" for i in range(40) for t in ("com", "net")] + [f"http://only{i}.{t}/" for i in range(30) for t in ("com", "org")]
     judged = lambda urls, n: {x.url: x.verdict for x in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, columns=("url",), train_rows=n).collect()}
     assert judged(hot * 200 + rest, 60) == judged(hot + rest, 60)
-    few = judged([f"http://a{i}.com/" for i in range(300)] + ["http://b.net/x", "http://c.net.org/x", "http://d.org/"], 20)
-    assert few["http://b.net/x"] == "block" and set(few.values()) == {"allow", "block"}
+    # a hot URL that comes first by its hash, and long blocked ones
+    code = lambda u: (xxhash.xxh64_intdigest(u, 42) + 2**63) % 2**64
+    urls = [f"http://a{i}.com/a" for i in range(20)] + [f"http://b{i}.net/{'1' * 40}" for i in range(20)]
+    first = min((f"http://hot{i}.com/a" for i in range(2000)), key=code)
+    assert code(first) < min(map(code, urls))
+    few = judged([first] * 200 + urls + ["http://c.org/" + "1" * 40, "http://c.org/a"], 20)
+    assert few["http://c.org/" + "1" * 40] == "block" and few["http://c.org/a"] == "allow"
 
 
 def test_html():
