@@ -13,14 +13,28 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own: below the warehouse on
+    a cluster, a temporary one only where driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tamarisk-")
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = "file://" + tempfile.mkdtemp(prefix="tamarisk-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tamarisk"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the session's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def passed_through(df: DataFrame, columns: list[str] | tuple[str, ...], results: tuple[str, ...]) -> list[str]:
+    """The columns that go to the result as they are. A result column takes the place of an input column of its name."""
+    taken = {c.lower() for c in results}
+    return [c for c in dict.fromkeys(columns) if c.lower() not in taken]
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
@@ -29,9 +43,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
