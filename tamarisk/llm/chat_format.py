@@ -2,7 +2,8 @@
 
 The template is `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Control strings inside texts and roles, of this and of
 other common templates, get a backslash after their first character, one more for each that is there already, so
-unescaping takes one away. In roles, line ends and backslashes are escaped as well, since a line end closes the role.
+unescaping takes one away. A line end closes a role, so in roles backslashes and line ends become a backslash and a letter
+as well.
 
 A batch is assembled without a loop over its turns: segment lengths, their cumulative offsets, and for the header, role,
 text and closing segments index arrays that scatter whole Arrow buffers into one preallocated buffer.
@@ -39,13 +40,12 @@ def unescape(texts: pa.Array) -> pa.Array:
 
 
 def escape_role(roles: pa.Array) -> pa.Array:
-    return pc.replace_substring(pc.replace_substring(escape(roles), "\\", "\\\\"), "\n", "\\n")
+    return pc.replace_substring(pc.replace_substring(escape(roles), "\\", "\\b"), "\n", "\\n")
 
 
 def unescape_role(roles: pa.Array) -> pa.Array:
-    mark = "\x00\x01"  # stands for an escaped backslash meanwhile; cannot come from a role that holds it
-    held = pc.replace_substring(roles, "\\\\", mark)
-    return unescape(pc.replace_substring(pc.replace_substring(held, "\\n", "\n"), mark, "\\"))
+    """Every backslash of an escaped role begins an escape, so the two kinds can be undone one after the other."""
+    return unescape(pc.replace_substring(pc.replace_substring(roles, "\\n", "\n"), "\\b", "\\"))
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +112,8 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     The parts of a conversation, by shard and part, are its formatted text one after another: a conversation of any
     length passes through in batches and over several shards. turn_chars are the code points of each turn; mask lists, in
     code points from the part's start, the texts that count for the loss. Turns are in order of turn; ties by role, then
-    text; turns without a number come first. Null roles and texts are empty. Rows without a conversation are one
-    conversation of their own. An empty table gives no parts; other columns are ignored.
+    text; turns without a number come first, rows that repeat stay. Null roles and texts are empty; long texts stay whole. Rows without a conversation are one
+    conversation of their own. An empty table gives no parts; other columns are ignored, whatever their names.
     """
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     order = ["conv_id", "turn", "role", "text"]

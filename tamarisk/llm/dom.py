@@ -28,15 +28,45 @@ _LONG_REF = re.compile(r"&#[0-9]{4000,};?")
 
 
 class Dom(HTMLParser):
-    """After feed and close: parent, tag, names (words of class, id and role) and mark of each element; chunks (block, element, text)."""
+    """After feed and close: parent, tag, names (words of class, id and role) and mark of each element; chunks (block, element, text).
+
+    Where a tag is open is looked up, never searched for, so that deep pages take time in proportion to their length.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.names, self.mark = [-1], ["#page"], [""], [""]
         self.open = [0]
+        #: Places in open by tag; of elements that are not inline; of silent and of foreign ones.
+        self.places: dict[str, list[int]] = {}
+        self.not_inline: list[int] = []
+        self.silent = self.foreign = 0
         self.block = 0
         self.chunks: list[tuple[int, int, str]] = []
 
+    def _push(self, element: int) -> None:
+        tag = self.tag[element]
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.not_inline.append(len(self.open))
+        self.silent += tag in SILENT
+        self.foreign += tag in FOREIGN
+        self.open.append(element)
+
+    def _close_from(self, place: int) -> None:
+        """Close the elements from this place in open on."""
+        while len(self.open) > place:
+            tag = self.tag[self.open.pop()]
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.not_inline.pop()
+            self.silent -= tag in SILENT
+            self.foreign -= tag in FOREIGN
+
+    def _last(self, tags: set[str]) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((held[-1] for t in tags if (held := self.places.get(t))), default=0)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "body":
             self._leave({"head"}, set())
@@ -58,11 +88,11 @@ class Dom(HTMLParser):
         self.tag.append(tag)
         self.names.append(" ".join(v for k in ("class", "id", "role") if (v := found.get(k))))
         self.mark.append(found.get("data-y") or "")
-        self.open.append(len(self.tag) - 1)
+        self._push(len(self.tag) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and any(self.tag[x] in FOREIGN for x in self.open):
+        if tag not in VOID and self.foreign:
             self.handle_endtag(tag)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
@@ -71,34 +101,29 @@ class Dom(HTMLParser):
         return end + 1 if end >= 0 else -1
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.tag[self.open[i]] == tag:
-                if any(self.tag[x] not in INLINE for x in self.open[i:]):
-                    self.block += 1
-                del self.open[i:]
-                return
-            if tag in INLINE and tag not in ("math", "object") and self.tag[self.open[i]] not in INLINE:
-                return  # an inline end tag doesn't reach beyond its block
+        place = self._last({tag})
+        outer = self.not_inline[-1] if self.not_inline else 0
+        if not place or tag in INLINE and tag not in ("math", "object") and outer > place:
+            return  # an inline end tag doesn't reach beyond its block
+        if outer >= place:
+            self.block += 1
+        self._close_from(place)
 
     def _leave(self, tags: set[str], within: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.tag[self.open[i]]
-            if name in tags:
-                del self.open[i:]
-                self.block += 1
-                return
-            if name in within:
-                return
+        place = self._last(tags)
+        if place and place > self._last(within):
+            self._close_from(place)
+            self.block += 1
 
     def _end_head(self) -> None:
         if self.tag[self.open[-1]] == "head":
-            del self.open[-1]
+            self._close_from(len(self.open) - 1)
             self.block += 1
 
     def handle_data(self, data: str) -> None:
         if data.strip():
             self._end_head()
-        if not any(self.tag[x] in SILENT for x in self.open):
+        if not self.silent:
             self.chunks.append((self.block, self.open[-1], data))
 
 

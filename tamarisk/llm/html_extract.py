@@ -23,6 +23,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tamarisk.llm.arrow import sliced
 from tamarisk.llm.dom import INLINE, Dom, joined, parse
 from tamarisk.llm.html_pages import labelled_page
+from tamarisk.llm.tables import passed_through
 
 TRAIN_PAGES = 1_000
 #: Elements by what their parent's label means for theirs.
@@ -173,9 +174,10 @@ def _extracted(weights):
 def main_text(pages: DataFrame, html_col: str = "html", columns: tuple[str, ...] = ("page_id", "url"), weights: Weights | None = None) -> DataFrame:
     """The named columns of every row, with text (blocks joined by two line ends; empty if none) and n_chars.
 
-    A null or empty page has no text. Broken markup is read as far as it goes. Repeated rows and rows with nulls in other
-    columns are treated like any other; columns named text or n_chars may not be among those asked for.
+    A null or empty page has no text. Broken markup is read as far as it goes, and long pages are read whole, in time in
+    proportion to their length. Repeated rows and rows with nulls in other columns are treated like any other, an empty
+    table gives no rows. A column text or n_chars of the input gives way to the result of that name.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights or default_weights())
-    own = pages.select(*columns, F.col(html_col).cast("string").alias("_html"))
+    own = pages.select(*passed_through(pages, columns, ("text", "n_chars")), F.col(html_col).cast("string").alias("_html"))
     return own.mapInArrow(sliced(_extracted(shared)), StructType([*own.schema.fields[:-1], StructField("text", StringType()), StructField("n_chars", LongType())]))

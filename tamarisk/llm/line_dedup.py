@@ -3,14 +3,17 @@
 Every scan task hashes the lines of its batches. Where a key recurs within a batch, only the lines of its least document
 go on; the rest are known to be repeats there and then, so a line that a third of all documents share arrives as one row
 per batch. Survivors are dealt by ranges of the hash and sorted by hash, document and position, and a stream over each
-range keeps the lines of the first document of every key. Only positions of dropped lines return to the documents, as
-bitmaps (one bit a line, zlib); text is never shuffled by the operator.
+range keeps the lines of the first document of every key. Keys that a sample finds frequent leave before that: their first
+document is a minimum that is combined on the map side, so no range gathers one key. Only positions of dropped lines return
+to the documents, as bitmaps (one bit a line, zlib); line_bitmaps never shuffles text, and line_dedup only those texts that
+lose lines.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tamarisk.llm.arrow import sliced
-from tamarisk.llm.tables import shuffle_partitions, stored
+from tamarisk.llm.tables import passed_through, shuffle_partitions, stored
 
 #: What is stripped from a line's ends, and the least number of code points of a key.
 STRIPPED = b" \t\n\x0b\x0c\r"
 LEAST_KEY = 10
 #: Rows without an id count as one document that comes after all others.
 NO_ID = (1 << 63) - 1
+#: About so many rows are sampled for frequent keys: those with one row in FREQUENT, so there are FREQUENT of them at most.
+SAMPLE, FREQUENT = 200_000, 1_000
+#: So many ids are broadcast to pick the texts that lose lines (16 bytes each); more are joined by a shuffle of the texts.
+BROADCAST_IDS = 2_000_000
 
 _EVENTS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("text_key", pa.int64()), ("lines", pa.binary()), ("n_lines", pa.int64())])
 
@@ -125,40 +132,60 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per distinct (doc, text_key): n_lines, n_dropped, keep (zlib of one bit per line, first line first).
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased. Keys of at least 10 code points that several
-    documents hold lose all lines but those of the least id. Null and empty texts are one empty line, which is too short
-    to go. Rows that repeat an id are one document. Rows without an id are one document after all others (doc is
-    2 ** 63 - 1). An empty table gives no rows.
+    documents hold lose all lines but those of the least id; within that document repeats stay. Null and empty texts are one
+    empty line, which is too short to go. Long texts and lines are read whole. Rows that repeat an id are one document. Rows
+    without an id are one document after all others (doc is 2 ** 63 - 1). An empty table gives no rows. Other columns are
+    ignored, whatever their names.
     """
+    spark = docs.sparkSession
     events = stored(docs.select(*_whole(id_col, text_col)).mapInArrow(sliced(_events), "h1 long, h2 long, doc long, text_key long, lines binary, n_lines long"), "lines")
     keys = events.where("h1 IS NOT NULL").select("h1", "h2", "doc", "text_key", "lines")
-    later = keys.repartitionByRange(shuffle_partitions(docs.sparkSession), "h1", "h2").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_later_documents, "doc long, text_key long, lines binary")
+    later = []
+    if frequent := _frequent(keys.select("h1", "h2"), events.count()):
+        own = F.broadcast(spark.createDataFrame(frequent, "h1 long, h2 long"))
+        firsts = stored(keys.join(own, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("doc").alias("first")), "firsts")
+        later.append(keys.join(F.broadcast(firsts), ["h1", "h2"]).where("doc <> first").select("doc", "text_key", "lines"))
+        keys = keys.join(own, ["h1", "h2"], "left_anti")
+    later.append(keys.repartitionByRange(shuffle_partitions(spark), "h1", "h2").sortWithinPartitions("h1", "h2", "doc").mapInArrow(_later_documents, "doc long, text_key long, lines binary"))
     known = events.where("h1 IS NULL").select("doc", "text_key", "lines", "n_lines")
-    all_lost = known.unionByName(later.withColumn("n_lines", F.lit(None).cast("long")))
-    lost = all_lost.groupBy("doc", "text_key").agg(F.max("n_lines").alias("n_lines"), F.collect_list(F.when(F.octet_length("lines") > 0, F.col("lines"))).alias("lost"))
+    all_lost = known.unionByName(reduce(DataFrame.unionByName, later).withColumn("n_lines", F.lit(None).cast("long")))
+    # a set, as rows that repeat a document tell the same of it
+    lost = all_lost.groupBy("doc", "text_key").agg(F.max("n_lines").alias("n_lines"), F.collect_set(F.when(F.octet_length("lines") > 0, F.col("lines"))).alias("lost"))
     return lost.mapInArrow(sliced(_bitmaps), "doc long, text_key long, n_lines long, n_dropped long, keep binary")
 
 
-def _applied(text_col: str, columns: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch[text_col].to_pylist(), batch["_keep"].to_pylist(), strict=True)
-            cut = [t or "" if k is None else kept_lines(t, k) for t, k in pairs]
-            yield batch.select(columns).append_column("_kept", pa.array(cut, pa.string()))
+def _frequent(keys: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Keys with at least one in FREQUENT of a sample. They only take another way; which ones they are changes no result."""
+    counted = keys.sample(min(1.0, SAMPLE / max(n, 1)), seed=1).groupBy("h1", "h2").agg(F.count("*").alias("c"))
+    return [(r.h1, r.h2) for r in counted.where(F.col("c") >= max(min(n, SAMPLE) // FREQUENT, 20)).collect()]
 
-    return run
+
+def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text (last but one) that the bitmap (last) leaves, in the place of both."""
+    for batch in batches:
+        n = batch.num_columns
+        pairs = zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True)
+        cut = [kept_lines(t, k) for t, k in pairs]
+        yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(cut, pa.string())], [*batch.schema.names[: n - 2], "_kept"])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
     """A row for every input row: the named columns (all unless given), _n_lines, _n_dropped and _kept (the text that stays).
 
-    See line_bitmaps. Columns that begin with an underscore and have one of these names are not allowed.
+    See line_bitmaps. An input column with the name of a result gives way to it.
     """
     maps = stored(line_bitmaps(docs, id_col, text_col), "bitmaps")
-    columns = docs.columns if columns is None else columns
-    doc, _, text_key = _whole(id_col, text_col)
-    own = docs.select(*dict.fromkeys([*columns, text_col]), doc.alias("_doc"), text_key.alias("_text_key"))
-    found = maps.select(F.col("doc").alias("_doc"), F.col("text_key").alias("_text_key"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.when(F.col("n_dropped") > 0, F.col("keep")).alias("_keep"))
-    joined = own.join(found, ["_doc", "_text_key"], "left").drop("_doc", "_text_key")
-    out = [*columns, "_n_lines", "_n_dropped"]
-    kinds = {f.name: f for f in joined.schema}
-    return joined.mapInArrow(sliced(_applied(text_col, out)), StructType([*(kinds[c] for c in out), StructField("_kept", StringType())]))
+    columns = passed_through(docs, docs.columns if columns is None else columns, ("_n_lines", "_n_dropped", "_kept"))
+    doc, text, text_key = _whole(id_col, text_col)
+    own = docs.select(F.struct(*columns).alias("own") if columns else F.lit(None).cast("boolean").alias("own"), text, doc, text_key)
+    losing = maps.where("n_dropped > 0")
+    pairs = losing.select("doc", "text_key")
+    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    on = ["doc", "text_key"]
+    whole = own.join(F.broadcast(pairs) if few else pairs, on, "left_anti")
+    # every row of the table is one line longer than it has line ends
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    whole = whole.select("own", n_lines.cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped"), F.col("text").alias("_kept"))
+    some = own.join(F.broadcast(pairs) if few else pairs, on, "left_semi").join(losing, on).select("own", F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), "text", "keep")
+    cut = some.mapInArrow(sliced(_applied), StructType([*some.schema.fields[:3], StructField("_kept", StringType())]))
+    return whole.unionByName(cut).select(*[F.col("own")[c].alias(c) for c in columns], "_n_lines", "_n_dropped", "_kept")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tamarisk.llm.arrow import sliced, texts_of
+from tamarisk.llm.tables import passed_through
 
 #: Identity terms by kind and language; terms of one row are swapped for each other.
 IDENTITY = (
@@ -243,11 +244,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """The named columns (the id unless given) of every row, score (0 to 1, higher: toxic is likelier), and toxic (from 0.5).
 
     The score depends on the text alone. Null and empty texts get the score of a text without known words. Repeated
-    labels of an id count as toxic if any is. Without labels of both classes all texts get the share of toxic ones,
-    and none is called toxic.
+    labels of an id count as toxic if any is, and repeated rows are scored alike; long texts are read whole. Without labels
+    of both classes all texts get the share of toxic ones, and none is called toxic. An empty table gives no rows. A column
+    score or toxic of the input gives way to the result of that name; others that are not asked for are ignored.
     """
     texts, y = training_rows(docs, labels, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y))
-    columns = [id_col] if columns is None else columns
+    columns = passed_through(docs, [id_col] if columns is None else columns, ("score", "toxic"))
     own = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
     return own.mapInArrow(sliced(_scored(model)), StructType([*own.schema.fields[:-1], StructField("score", DoubleType()), StructField("toxic", BooleanType())]))
