@@ -107,7 +107,7 @@ def test_components(spark):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_decontaminate(spark, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr("tamarisk.llm.decontaminate.BROADCAST_ROWS", 0)
+        monkeypatch.setattr("tamarisk.llm.decontaminate.BROADCAST_BYTES", 0)
     r = random.Random(4)
     items = [(i, " ".join(words(r, r.choice((0, 1, 2, 7, 9, 10, 11, 30))))) for i in range(25)] + [(90, None), (91, "same " * 14), (3, "w1 w2 w3")]
     docs = corpus(7)
