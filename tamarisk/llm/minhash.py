@@ -5,11 +5,14 @@ in a bucket only its number of leading zeros and the mantissa bits after the lea
 sketches of the same hashes. The coarse one has 128 registers of 6 + 10 bits for banding: empty buckets of small sets
 borrow the register of a bucket that a fixed sequence draws, and bands of 4 registers make the candidate buckets; of its
 32 bands a pair of similarity 0.75 meets in none with probability 5e-6. That holds for sets of many elements; sets of at
-most SMALL also take their least hashes as keys, of which any pair that is similar enough shares one. The fine one has 1024 registers of 4 + 4 bits, empty
+most SMALL also take some of their hashes as keys, the first in an order that all sets share: one more than a set may lack
+in common with a partner, so that any pair that is similar enough shares one. The order puts hashes of FREQUENT or more
+sets last, by their number of sets, so that a phrase of many short texts makes no bucket unless they have little else. The fine one has 1024 registers of 4 + 4 bits, empty
 ones marked, and gives the estimate: equal registers among those that either side fills, less expected collisions.
 
 Copies with equal sets are one class and go on as its least id. In every candidate bucket each class is paired with
-the least one (a star, never all pairs). The estimate drops a pair only where it is four standard deviations too low;
+one (a star, never all pairs): the one that shares most buckets with others over all, as the original of a group of near
+copies does, so that most of a group becomes one component at once. The estimate drops a pair only where it is four standard deviations too low;
 what remains is confirmed on full sets. Classes are joined into components; then, in buckets that still hold several
 components, members of different components are compared in blocks of bounded size. So a bucket of n near copies costs n
 comparisons, and no pair that shares a bucket goes untested unless both sides are in one component already.
@@ -34,7 +37,9 @@ BANDS, ROWS, FINE = 32, 4, 1024
 COARSE = BANDS * ROWS
 #: Sets of at most so many elements meet by prefixes; partners of theirs have a quarter to a third more.
 SMALL = 64
-BLOCK = 2_000
+#: Hashes of so many small sets come last in the order of prefixes.
+FREQUENT = 20
+BLOCK = 1_000
 #: Collisions of unrelated registers are this times 2 ** -mantissa bits, for sets of equal size (the HyperMinHash estimate).
 COLLISION = 0.169919487159739
 #: So many ids are broadcast to pick their texts (8 bytes each); more are joined by a shuffle of the texts.
@@ -110,11 +115,9 @@ def _registers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FINE)
 
 
-def _prefix(s: np.ndarray, percent: int) -> np.ndarray:
-    """The least hashes of a small set, one more than it may lack in common with a partner; any two such partners share one."""
-    if 100 * SMALL < percent * len(s):
-        return s[:0]
-    return s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64)
+def _small(s: np.ndarray, percent: int) -> np.ndarray:
+    """The hashes of a set that has keys of its own: a small one, or a possible partner of such."""
+    return s[:0] if 100 * SMALL < percent * len(s) else s.view(np.int64)
 
 
 def _sketches(percent: int):
@@ -129,7 +132,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
         sets = shingle_sets(batch.column(1))
         keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
         coarse, fine = ([r.tobytes() for r in x] for x in sketch(sets))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), pa.array([_prefix(s, percent) for s in sets], pa.list_(pa.int64()))], ["id", "n", "set_key", "coarse", "regs", "prefix"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary()), pa.array([_small(s, percent) for s in sets], pa.list_(pa.int64()))], ["id", "n", "set_key", "coarse", "regs", "small"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +193,19 @@ def _band_keys() -> Column:
     return F.array(*[F.xxhash64(F.lit(b), F.substring("coarse", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)])
 
 
+def _prefix_keys(classes: DataFrame, percent: int) -> DataFrame:
+    """rep, band (BANDS), key: the prefix of each small set, its frequent hashes last."""
+    own = classes.where(F.size("small") > 0).select("rep", "small")
+    entries = own.select("rep", F.explode("small").alias("h"))
+    frequent = stored(entries.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= FREQUENT), "frequent")
+    wanted = F.broadcast(frequent) if frequent.count() <= BROADCAST_IDS // 2 else frequent
+    late = entries.join(wanted, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("late"))
+    ordered = F.concat(F.array_except("small", F.col("late.h")), F.col("late.h"))
+    least = F.size("small") - F.ceil(F.size("small") * percent / 100) + 1
+    prefix = F.slice(F.coalesce(ordered, F.col("small")), F.lit(1), least.cast("int"))
+    return own.join(late, "rep", "left").select("rep", F.lit(BANDS).alias("band"), F.explode(F.transform(prefix, lambda h: F.xxhash64(F.lit(-1), h))).alias("key"))
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole shingle sets are similar enough."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -205,14 +221,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked where 100 * common >= percent * union of their shingle sets. Null, empty and blank texts have no
     shingles and are linked with nothing. Rows that repeat an id are one document, linked by any of its texts. Rows
-    without an id are linked with nothing, have no component_id and are kept. Other columns are ignored.
+    without an id are linked with nothing, have no component_id and are kept. Long texts are read whole; ties do not occur, as
+    links do not depend on order. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = stored(docs.mapInArrow(sliced(_sketches(percent)), "id long, n long, set_key binary, coarse binary, regs binary, prefix array<long>"), "sketches")
-    classes = stored(marks.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("coarse", "regs", "prefix")]), "classes")
-    bands = classes.select("rep", F.posexplode(F.concat(_band_keys(), F.transform("prefix", lambda h: F.xxhash64(F.lit(-1), h)))).alias("band", "key"))
-    buckets = stored(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c"), F.min("band").alias("band")).where("c > 1"), "buckets")
-    members = stored(bands.drop("band").join(buckets, "key"), "members")
+    marks = stored(docs.mapInArrow(sliced(_sketches(percent)), "id long, n long, set_key binary, coarse binary, regs binary, small array<long>"), "sketches")
+    classes = stored(marks.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("coarse", "regs", "small")]), "classes")
+    bands = classes.select("rep", F.posexplode(_band_keys()).alias("band", "key")).unionByName(_prefix_keys(classes, percent))
+    buckets = stored(bands.groupBy("key").agg(F.count("*").alias("c"), F.min("band").alias("band")).where("c > 1"), "buckets")
+    met = stored(bands.drop("band").join(buckets, "key"), "met")
+    company = met.groupBy("rep").agg(F.sum("c").alias("company"))
+    hubs = met.join(company, "rep").groupBy("key").agg(F.min_by("rep", F.struct(-F.col("company"), "rep")).alias("hub"))
+    members = stored(met.join(hubs, "key"), "members")
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     stars = members.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     likely = stored(stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(sliced(_plausible_pairs(percent)), "a long, b long"), "likely")
