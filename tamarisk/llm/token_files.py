@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 
 from tamarisk.llm.arrow import in_slices, texts_of
 from tamarisk.llm.rans import Decoder, Encoder, Table
-from tamarisk.llm.tables import shared_dir, shuffle_partitions, stored
+from tamarisk.llm.tables import drop_at_end, shared_dir, shuffle_partitions, stored
 
 BLOCK, SEGMENT = 1 << 18, 1 << 22
 #: Characters that go through the tokenizer at a time.
@@ -201,7 +201,8 @@ def _encoded(tokenizer_json, end_id: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts and write them to path in ascending order of ids; rows that repeat an id follow each other, by text.
 
-    Null texts are empty: their only id is end_id. Rows without an id come first. An empty table gives no segments.
+    Null texts are empty: their only id is end_id. Texts are encoded whole, however long. Rows without an id come first. An
+    empty table gives no segments. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -248,5 +249,6 @@ def token_digests(docs: DataFrame, tokenizer_json: str, end_id: int = 0) -> Data
     """Write the token files of documents to the shared folder, and read back what they hold of each document."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    drop_at_end(spark, path)
     write_tokens(docs, path, tokenizer_json, end_id)
     return stored(read_tokens(spark, path, digest=True), "token-digests")
