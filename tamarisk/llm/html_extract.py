@@ -23,7 +23,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tamarisk.llm.arrow import sliced
 from tamarisk.llm.dom import INLINE, Dom, joined, parse
 from tamarisk.llm.html_pages import labelled_page
-from tamarisk.llm.tables import passed_through
+from tamarisk.llm.tables import held, let_go, passed_through
 
 TRAIN_PAGES = 1_000
 #: Elements by what their parent's label means for theirs.
@@ -179,5 +179,7 @@ def main_text(pages: DataFrame, html_col: str = "html", columns: tuple[str, ...]
     table gives no rows. A column text or n_chars of the input gives way to the result of that name.
     """
     shared = pages.sparkSession.sparkContext.broadcast(weights or default_weights())
-    own = pages.select(*passed_through(pages, columns, ("text", "n_chars")), F.col(html_col).cast("string").alias("_html"))
-    return own.mapInArrow(sliced(_extracted(shared)), StructType([*own.schema.fields[:-1], StructField("text", StringType()), StructField("n_chars", LongType())]))
+    columns = passed_through(pages, columns, ("text", "n_chars"))
+    own = pages.select(held(columns), F.col(html_col).cast("string").alias("html"))
+    found = own.mapInArrow(sliced(_extracted(shared)), StructType([own.schema[0], StructField("text", StringType()), StructField("n_chars", LongType())]))
+    return found.select(*let_go(columns), "text", "n_chars")

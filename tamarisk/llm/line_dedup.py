@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tamarisk.llm.arrow import sliced
-from tamarisk.llm.tables import passed_through, shuffle_partitions, stored
+from tamarisk.llm.tables import held, let_go, passed_through, shuffle_partitions, stored
 
 #: What is stripped from a line's ends, and the least number of code points of a key.
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -177,7 +177,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maps = stored(line_bitmaps(docs, id_col, text_col), "bitmaps")
     columns = passed_through(docs, docs.columns if columns is None else columns, ("_n_lines", "_n_dropped", "_kept"))
     doc, text, text_key = _whole(id_col, text_col)
-    own = docs.select(F.struct(*columns).alias("own") if columns else F.lit(None).cast("boolean").alias("own"), text, doc, text_key)
+    own = docs.select(held(columns), text, doc, text_key)
     losing = maps.where("n_dropped > 0")
     pairs = losing.select("doc", "text_key")
     few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -188,4 +188,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = whole.select("own", n_lines.cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped"), F.col("text").alias("_kept"))
     some = own.join(F.broadcast(pairs) if few else pairs, on, "left_semi").join(losing, on).select("own", F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), "text", "keep")
     cut = some.mapInArrow(sliced(_applied), StructType([*some.schema.fields[:3], StructField("_kept", StringType())]))
-    return whole.unionByName(cut).select(*[F.col("own")[c].alias(c) for c in columns], "_n_lines", "_n_dropped", "_kept")
+    return whole.unionByName(cut).select(*let_go(columns), "_n_lines", "_n_dropped", "_kept")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarisk.llm.arrow import in_slices
-from tamarisk.llm.tables import passed_through, whole_text
+from tamarisk.llm.tables import held, let_go, passed_through, whole_text
 
 CAPACITIES = (1_024, 2_048, 4_096, 8_192, 16_384)
 #: What a sequence costs besides its length, in tokens; and the length at which the square part is as large as the length.
@@ -148,6 +148,7 @@ def best_fit(
         raise ValueError("content has the default length")
     results = (*RESULTS, *["tokens"] * content)
     tokens = F.octet_length(whole_text(text_col)) + 1 if length is None else F.expr(length)
-    own = docs.select(*passed_through(docs, columns, results), F.greatest(tokens.cast("long"), F.lit(0)).alias("_tokens"), *[F.encode(whole_text(text_col), "UTF-8").alias("_text")] * content)
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[: -1 - content])
-    return own.mapInArrow(_packed(tuple(capacities), overhead, square, content), f"{kinds}{_DDL}" + ", tokens binary" * content)
+    columns = passed_through(docs, columns, results)
+    own = docs.select(held(columns), F.greatest(tokens.cast("long"), F.lit(0)).alias("n"), *[F.encode(whole_text(text_col), "UTF-8").alias("text")] * content)
+    placed = own.mapInArrow(_packed(tuple(capacities), overhead, square, content), f"own {own.schema['own'].dataType.simpleString()}, {_DDL}" + ", tokens binary" * content)
+    return placed.select(*let_go(columns), *results)

@@ -47,6 +47,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(columns: list[str]) -> Column:
+    """The columns as one, own, so that their names meet no others on the way."""
+    return (F.struct(*columns) if columns else F.lit(None).cast("boolean")).alias("own")
+
+
+def let_go(columns: list[str]) -> list[Column]:
+    return [F.col("own")[c].alias(c) for c in columns]
+
+
 def whole_text(name: str = "text") -> Column:
     """A text column with null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from tamarisk.llm.arrow import sliced, texts_of
-from tamarisk.llm.tables import passed_through
+from tamarisk.llm.tables import held, let_go, passed_through
 
 #: Identity terms by kind and language; terms of one row are swapped for each other.
 IDENTITY = (
@@ -251,5 +251,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     texts, y = training_rows(docs, labels, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y))
     columns = passed_through(docs, [id_col] if columns is None else columns, ("score", "toxic"))
-    own = docs.select(*columns, F.col(text_col).cast("string").alias("_text"))
-    return own.mapInArrow(sliced(_scored(model)), StructType([*own.schema.fields[:-1], StructField("score", DoubleType()), StructField("toxic", BooleanType())]))
+    own = docs.select(held(columns), F.col(text_col).cast("string").alias("text"))
+    scored = own.mapInArrow(sliced(_scored(model)), StructType([own.schema[0], StructField("score", DoubleType()), StructField("toxic", BooleanType())]))
+    return scored.select(*let_go(columns), "score", "toxic")

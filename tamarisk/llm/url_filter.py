@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamarisk.llm.tables import ascii_lower, passed_through, stored
+from tamarisk.llm.tables import ascii_lower, held, let_go, passed_through, stored
 
 #: The bound of the training sample.
 TRAIN_ROWS = 5_000
@@ -96,10 +96,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "u
     """
     columns = passed_through(pages, columns, ("host", "path", "rule", "verdict"))
     url = F.col(url_col).cast("string")
-    rows = pages.select(F.struct(*columns).alias("_own") if columns else F.lit(None).alias("_own"), url.alias("_url"), host(url).alias("_host"), path(url).alias("_path"))
+    rows = pages.select(held(columns), url.alias("_url"), host(url).alias("_host"), path(url).alias("_path"))
     rows = rows.withColumns({"_rule": rule_column(rules, F.col("_host"), F.col("_path"), 1), "_by_rule": rule_column(rules, F.col("_host"), F.col("_path"), 0)})
     sample, counts = training_urls(rows, train_rows)
-    result = [*[F.col("_own")[c].alias(c) for c in columns], F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule")]
+    result = [*let_go(columns), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule").alias("rule")]
     if len(counts) < 2:
         rest = "block" if set(counts) == {1.0} else "allow"
         return rows.select(*result, F.coalesce("_by_rule", F.lit(rest)).alias("verdict"))

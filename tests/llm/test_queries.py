@@ -47,3 +47,22 @@ def test_pipeline(spark):
         elif name == "benchmark decontamination":
             assert set(after) == {i for i, x in brute.decontaminate(list(before.items()), items).items() if not x[1]}
         docs = spark.createDataFrame(out.collect(), out.schema)
+
+
+def test_stages_at_the_edges(spark, monkeypatch):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names and empty tables, stage by stage."""
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, "a text of its own", "en", "s", 17), (1, "a text of its own", "en", "s", 17), (2, None, None, None, None), (3, "", "en", "s", 0), (None, f"it holds {item} inside", None, None, None), (4, "long words " * 50_000, "en", "s", 550_000), (5, f"{item}", "en", "s", 48), (6, "the same long line\nand 6", "en", "s", 24), (7, "the same long line", "en", "s", 18)]
+    docs = spark.createDataFrame([(*r, 1, "x", True) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score int, tokens string, kept boolean")
+    tables = {"labels": spark.createDataFrame([], "doc_id long, toxic int"), "benchmark": spark.createDataFrame([(1, item)], "item_id long, text string")}
+    monkeypatch.setattr(corpus_pipeline, "table", lambda _, __, name: tables[name])
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert stage(spark, docs.limit(0), "").count() == 0
+        ids[name] = sorted(str(r.doc_id) for r in out.collect())
+    every = sorted(str(r[0]) for r in rows)
+    assert ids["toxicity"] == ids["best-fit packing"] == every or set(ids["best-fit packing"]) == set(every) and ids["toxicity"] == every
+    assert ids["line dedup"] == sorted(set(every) - {"7"} | {"1"}) or ids["line dedup"] == [x for x in every if x != "7"]
+    assert ids["MinHash near-dedup"] == every
+    assert ids["benchmark decontamination"] == [x for x in every if x not in ("5", "None")]
