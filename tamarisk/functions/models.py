@@ -85,13 +85,18 @@ def select_route(question: Column) -> Column:
     return F.when(F.concat(F.lit(" "), F.lower(question), F.lit(" ")).contains(" the "), "documents").otherwise("web")
 
 
+def rerank_score(coverage: Column, bm25: Column) -> Column:
+    """Relevance of a candidate: how many of the question's words it covers."""
+    return coverage.cast("double")
+
+
 def answer(context: Column, question: Column) -> Column:
     """The prompt that a model would be given."""
     return fill_template(ANSWER, context=context, question=question)
 
 
 REGISTRY: dict[str, Callable[..., Column]] = {
-    f.__name__: f for f in (judge_spam, classify_topic, generate_response, check_quality, politeness_judge, forbidden_content_judge, answer_hallucination, expand_query, hypothetical_answer, select_route, answer)
+    f.__name__: f for f in (judge_spam, classify_topic, generate_response, check_quality, politeness_judge, forbidden_content_judge, answer_hallucination, expand_query, hypothetical_answer, select_route, rerank_score, answer)
 }
 
 

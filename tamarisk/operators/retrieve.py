@@ -1,28 +1,30 @@
 """Retrievers: ranked lists (query_id, doc_id, score, rank) of the best k documents for each query.
 
-Lexical lists come from one pass over the corpus: of a document's words only those that some query asks for leave the
-scan, counted on the map side. Vector lists compare blocks of queries with blocks of the corpus as matrix products, keep
-k per block pair, and merge. Neither forms all pairs of a query and a document, and scores are rounded before they rank, so
-ties are ties on any plan; they go by document.
+The queries are the small, stated side: their terms or vectors go to every task, in blocks of bounded size. The corpus is
+scanned once for the statistics of the asked terms (lexical only) and once to score. A task scores its documents against
+all queries of the block as arrays and keeps the k best of each, so k rows a query and task are all that is shuffled: no
+postings, and no pairs of a query and a document. Scores are rounded before they rank, so ties are ties on any plan; they
+go by document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from tamarisk.functions.text import tokens
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 K1, B = 1.5, 0.75
 DIGITS = 6
-#: Vectors in a block; 64 dimensions in double precision make 2 MB.
-BLOCK = 4_096
-#: A table of query terms with at most so many rows is broadcast.
-BROADCAST_TERMS = 500_000
+#: Rows of query terms, and bytes of query vectors, that go to every task at a time; more queries make more blocks.
+BLOCK_TERMS, BLOCK_BYTES = 500_000, 32 << 20
+#: Scores that are held at a time, and bytes of text that are split at a time.
+SCORES, SLICE = 1 << 21, 8 << 20
 
 
 def best(df: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), doc: str = "doc_id") -> DataFrame:
@@ -36,85 +38,216 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _norm(words: Column) -> Column:
-    """Length of a document's term-frequency vector, from its sorted words in one pass."""
-    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
-    # each word adds 2 * run + 1, so that a run of n equal words adds n squared
-    step = lambda s, x: F.struct(x.alias("word"), F.when(s["word"] == x, s["run"] + 1).otherwise(1).cast("long").alias("run"), (s["total"] + F.when(s["word"] == x, 2 * s["run"] + 1).otherwise(1)).cast("long").alias("total"))
-    return F.sqrt(F.aggregate(F.array_sort(words), start, step, lambda s: s["total"].cast("double")))
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To DIGITS digits, halves up."""
+    return np.floor(x * 10.0**DIGITS + 0.5) / 10.0**DIGITS
+
+
+class Best:
+    """The k best documents of each of n queries, as far as they have been seen; ties by document."""
+
+    def __init__(self, k: int, n: int, ids: pa.DataType) -> None:
+        self.k = k
+        #: What a score must reach to be of use.
+        self.floor = np.full(n, -np.inf)
+        self.query, self.values, self.ids = np.zeros(0, np.int64), np.zeros((0, 3)), pa.array([], ids)
+
+    def add(self, query: np.ndarray, ids: pa.Array, values: np.ndarray) -> None:
+        """values: a row of score and two more numbers for each."""
+        self.query = np.concatenate([self.query, query])
+        self.values = np.concatenate([self.values, values])
+        self.ids = pa.concat_arrays([self.ids, ids])
+        place = pc.rank(self.ids, tiebreaker="dense").to_numpy()
+        order = np.lexsort((place, -self.values[:, 0], self.query))
+        sorted_query = self.query[order]
+        nth = np.arange(len(order)) - np.searchsorted(sorted_query, sorted_query)
+        order = order[nth < self.k]
+        last = self.query[order][nth[nth < self.k] == self.k - 1]
+        self.query, self.values, self.ids = self.query[order], self.values[order], self.ids.take(pa.array(order))
+        self.floor[last] = self.values[np.flatnonzero(nth[nth < self.k] == self.k - 1), 0]
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, unless a single text is large."""
+    for batch in batches:
+        step = max(1, int(batch.num_rows * min(1.0, SLICE / max(batch.nbytes, 1))))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def _counted(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with single spaces: number of words and norm of the term frequencies of each; and of each asked term in a text: row, term, frequency."""
+    n = len(texts)
+    whole = texts.take(pa.array(range(n), pa.int64())).cast(pa.large_string())  # the split kernel misreads slices
+    lists = pc.split_pattern(whole, " ")
+    coded = lists.flatten().dictionary_encode()
+    vocabulary = coded.dictionary
+    code = coded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    blank = pc.index(vocabulary, pa.scalar("", vocabulary.type)).as_py()
+    pairs, tf = np.unique((row * max(len(vocabulary), 1) + code)[code != blank], return_counts=True)
+    row, code = pairs // max(len(vocabulary), 1), pairs % max(len(vocabulary), 1)
+    length, norm = np.bincount(row, tf, n), np.sqrt(np.bincount(row, tf.astype(np.float64) ** 2, n))
+    term = pc.fill_null(pc.index_in(vocabulary, value_set=terms), -1).to_numpy()[code] if len(vocabulary) else code
+    asked = term >= 0
+    return length, norm, row[asked], term[asked], tf[asked]
+
+
+class _Block:
+    """Some of the queries: what a task needs to know of them."""
+
+    def __init__(self, rows: list) -> None:
+        self.queries = sorted({r.query_id for r in rows})
+        number = {q: i for i, q in enumerate(self.queries)}
+        names = sorted({r.term for r in rows})
+        place = {t: i for i, t in enumerate(names)}
+        self.terms = pa.array(names, pa.large_string())
+        at = np.array([place[r.term] for r in rows], np.int64)
+        order = np.argsort(at, kind="stable")
+        self.query = np.array([number[r.query_id] for r in rows], np.int64)[order]
+        self.qtf = np.array([r.qtf for r in rows], np.float64)[order]
+        #: The queries of a term are those between its bounds.
+        self.bounds = np.searchsorted(at[order], np.arange(len(names) + 1))
+        self.qnorm = np.sqrt(np.bincount(self.query, self.qtf**2, len(self.queries)))
+        self.idf, self.mean = np.zeros(len(names)), 1.0
+
+    def learn(self, docs: DataFrame) -> None:
+        """Number and mean length of documents, and the weight of each term, from one scan."""
+        terms = docs.sparkSession.sparkContext.broadcast(self.terms)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = len(terms.value)
+            seen = np.zeros(n + 2, np.int64)
+            for batch in _split(batches):
+                length, _, _, term, _ = _counted(batch.column(1), terms.value)
+                seen += np.bincount(term, minlength=n + 2)
+                seen[n:] += (len(length), int(length.sum()))
+            there = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(seen[there])], ["term", "n"])
+
+        found = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        seen = np.zeros(len(self.terms) + 2)
+        for r in found:
+            seen[r.term] = r.n
+        n, df = seen[-2], seen[:-2]
+        self.mean = seen[-1] / n if n and seen[-1] else 1.0
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """BM25, cosine and number of covered terms, a row for each text and a column for each query."""
+        n, width = len(texts), len(self.queries)
+        length, norm, row, term, tf = _counted(texts, self.terms)
+        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / self.mean))
+        many = self.bounds[term + 1] - self.bounds[term]
+        of = np.repeat(self.bounds[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cell = np.repeat(row, many) * width + self.query[of]
+        sums = lambda x: np.bincount(cell, x, n * width).reshape(n, width)
+        dot = sums(np.repeat(tf, many) * self.qtf[of])
+        return rounded(sums(np.repeat(weight, many))), rounded(dot / np.maximum(norm[:, None] * self.qnorm, 1e-300)), sums(np.ones(len(cell)))
+
+    def ranked(self, docs: DataFrame, tops: dict[str, int]) -> DataFrame:
+        """Of each task the best of each query: ranking, q, doc_id, score, bm25, coverage."""
+        spark = docs.sparkSession
+        shared = spark.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block, held = shared.value, {}
+            width = len(block.queries)
+            for big in _split(batches):
+                for at in range(0, big.num_rows, step := max(1, SCORES // max(width, 1))):
+                    batch = big.slice(at, step)
+                    ids = batch.column(0)
+                    bm25, cosine, coverage = block.scores(batch.column(1))
+                    for name, k in tops.items():
+                        score = bm25 if name == "bm25" else cosine
+                        own = held.setdefault(name, Best(k, width, ids.type))
+                        row, query = np.nonzero((coverage > 0) & (score >= own.floor))
+                        if len(row):
+                            own.add(query, ids.take(pa.array(row)), np.column_stack([x[row, query] for x in (score, bm25, coverage)]))
+            for name, own in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own.query), pa.string()), pa.array(own.query), own.ids, *(pa.array(own.values[:, i]) for i in range(3))], ["ranking", "q", "doc_id", "score", "bm25", "coverage"])
+
+        kinds = [StructField("ranking", StringType()), StructField("q", LongType()), docs.schema["doc_id"], *(StructField(c, DoubleType()) for c in ("score", "bm25", "coverage"))]
+        return docs.mapInArrow(run, StructType(kinds))
 
 
 class Corpus:
-    """A searchable corpus: documents (doc_id, text) and what a set of queries needs of it."""
+    """A searchable corpus: documents (doc_id, text), and the queries (query_id, words) that are asked of it.
+
+    Its statistics are taken when it is made; the rankings are plans.
+    """
 
     def __init__(self, docs: DataFrame, queries: DataFrame) -> None:
-        """queries: (query_id, words)."""
+        self.docs = docs.select("doc_id", F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"(?U)\s+", " ").alias("text"))
         self.terms = query_terms(queries)
-        asked = self.terms.select("term").distinct()
-        small = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-        self.size = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-        found = words.select("doc_id", F.explode("words").alias("term")).join(F.broadcast(asked) if small else asked, "term", "left_semi")
-        # lengths come from a scan of their own: beside the explode they would be computed for every word
-        stats = words.select("doc_id", F.size("words").alias("length"), _norm(F.col("words")).alias("norm"))
-        self.postings = found.groupBy("doc_id", "term").agg(F.count("*").alias("tf")).join(stats, "doc_id").persist()
-
-        n, mean = float(self.size["n"] or 0), float(self.size["mean"] or 1) or 1.0
-        df = self.postings.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-        idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-        lengths = self.terms.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).cast("double")).alias("qnorm"))
-        met = self.terms.join(df, "term").join(self.postings, "term").groupBy("query_id", "doc_id")
-        # one pass over the matches gives what every ranking needs
-        sums = met.agg(F.sum(weight).alias("bm25"), F.sum(F.col("qtf") * F.col("tf")).cast("double").alias("dot"), F.first("norm").alias("norm"), F.count("*").alias("coverage"))
-        self.scores = sums.join(lengths, "query_id").select("query_id", "doc_id", F.round("bm25", DIGITS).alias("bm25"), F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), DIGITS).alias("cosine"), "coverage").persist()
+        self.kind = self.terms.schema["query_id"]
+        n = max(1, -(-self.terms.count() // BLOCK_TERMS))
+        self.blocks = []
+        for i in range(n):
+            if rows := self.terms.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).collect():
+                self.blocks.append(_Block(rows))
+                self.blocks[-1].learn(self.docs)
+
+    def ranked(self, **tops: int) -> DataFrame:
+        """ranking (bm25 or cosine), query_id, doc_id, score, rank, bm25, coverage: of each ranking so many, all from one scan."""
+        spark, out = self.docs.sparkSession, []
+        for block in self.blocks:
+            names = spark.createDataFrame(list(enumerate(block.queries)), StructType([StructField("q", LongType()), self.kind]))
+            found = [best(block.ranked(self.docs, tops).where(F.col("ranking") == name), k, ("q",)) for name, k in tops.items()] if len(set(tops.values())) > 1 else [best(block.ranked(self.docs, tops), next(iter(tops.values())), ("ranking", "q"))]
+            out.append(reduce(DataFrame.unionByName, found).join(F.broadcast(names), "q"))
+        if not out:
+            empty = StructType([StructField("ranking", StringType()), self.kind, self.docs.schema["doc_id"], StructField("score", DoubleType()), StructField("rank", LongType()), StructField("bm25", DoubleType()), StructField("coverage", DoubleType())])
+            return spark.createDataFrame([], empty)
+        return reduce(DataFrame.unionByName, out).select("ranking", "query_id", "doc_id", "score", "rank", "bm25", "coverage")
+
+    def lists(self, **tops: int) -> DataFrame:
+        """Those rankings as lists for fusion: list_no counts them in the order given."""
+        number = F.array_position(F.array(*[F.lit(name) for name in tops]), F.col("ranking")).cast("int") - 1
+        return self.ranked(**tops).select("query_id", "doc_id", "score", "rank", number.alias("list_no"))
 
     def bm25(self, k: int = 20) -> DataFrame:
-        return best(self.scores.select("query_id", "doc_id", F.col("bm25").alias("score")), k)
+        return self.ranked(bm25=k).select("query_id", "doc_id", "score", "rank")
 
     def cosine(self, k: int = 20) -> DataFrame:
         """Cosine of term-frequency vectors: the default embedding."""
-        return best(self.scores.select("query_id", "doc_id", F.col("cosine").alias("score")), k)
-
-
-def _blocks(df: DataFrame, name: str) -> DataFrame:
-    """Blocks of BLOCK vectors at most: (name_ids, name_data), the data as unit rows in double precision."""
+        return self.ranked(cosine=k).select("query_id", "doc_id", "score", "rank")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK).filter(pa.array([v is not None for v in batch.column(1).slice(at, BLOCK).to_pylist()]))
-                if part.num_rows:
-                    x = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([x.tobytes()], pa.binary())], [f"{name}_ids", f"{name}_data"])
 
-    return df.mapInArrow(run, f"{name}_ids array<long>, {name}_data binary")
+def _unit(batch: pa.RecordBatch | pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Ids and unit vectors in double precision of the rows that have one."""
+    there = batch.filter(pc.is_valid(batch.column(1)))
+    ids, vectors = there.column(0), there.column(1)
+    if not len(ids):
+        return ids, np.zeros((0, 0))
+    x = np.stack(vectors.to_numpy(zero_copy_only=False) if isinstance(vectors, pa.Array) else vectors.to_numpy()).astype(np.float64)
+    return ids, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Exact cosine neighbours: query_id, doc_id, score, rank. Rows without a vector are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_ids, q, d_ids, d in zip(*(batch[c].to_pylist() for c in ("q_ids", "q_data", "d_ids", "d_data")), strict=True):
-                q_ids, d_ids = np.array(q_ids), np.array(d_ids)
-                score = np.round(np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(d).reshape(len(d_ids), -1).T, DIGITS)
-                rows, cols = [], []
-                for i in range(len(q_ids)):
-                    top = np.lexsort((d_ids, -score[i]))[:k] if len(d_ids) <= 4 * k else _top(score[i], d_ids, k)
-                    rows += [i] * len(top)
-                    cols += top.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(d_ids[cols]), pa.array(score[rows, cols])], ["query_id", "doc_id", "score"])
-
-    q = _blocks(queries.select(F.col(id_col).cast("long"), vector), "q")
-    d = _blocks(corpus.select(F.col(id_col).cast("long"), vector), "d")
-    found = q.crossJoin(d).mapInArrow(run, "query_id long, doc_id long, score double")
-    return best(found, k)
-
-
-def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best; all that tie with the last are looked at."""
-    least = np.partition(score, len(score) - k)[len(score) - k]
-    near = np.flatnonzero(score >= least)
-    return near[np.lexsort((ids[near], -score[near]))[:k]]
+    """Exact cosine neighbours: query_id, doc_id, score, rank. Rows without a vector are left out.
+
+    Queries go to every task in blocks of at most BLOCK_BYTES; each block is one pass over the corpus.
+    """
+    spark = corpus.sparkSession
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    size = asked.agg(F.sum(F.size("v") * 8)).first()[0] or 0
+    n, out = max(1, -(-size // BLOCK_BYTES)), []
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+    for i in range(n):
+        shared = spark.sparkContext.broadcast(_unit(asked.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own_ids, own = shared.value
+            held = Best(k, len(own), pa.int64())
+            step = max(1, SCORES // max(len(own), 1))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    ids, x = _unit(batch.slice(at, step))
+                    if len(ids) and len(own):
+                        score = rounded(x @ own.T)
+                        row, query = np.nonzero(score >= held.floor)
+                        held.add(query, ids.take(pa.array(row)), np.column_stack([score[row, query]] * 3))
+            yield pa.RecordBatch.from_arrays([own_ids.take(pa.array(held.query)).combine_chunks() if isinstance(own_ids, pa.ChunkedArray) else own_ids.take(pa.array(held.query)), held.ids, pa.array(held.values[:, 0])], ["query_id", "doc_id", "score"])
+
+        out.append(best(rows.mapInArrow(run, "query_id long, doc_id long, score double"), k))
+    return reduce(DataFrame.unionByName, out)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.functions.models import model
 from tamarisk.functions.text import tokens
-from tamarisk.operators.fuse import concatenated, reciprocal_rank_fusion
+from tamarisk.operators.fuse import reciprocal_rank_fusion
 from tamarisk.operators.retrieve import Corpus
 
 
@@ -52,9 +52,9 @@ def rag_fusion(questions: DataFrame, corpus: DataFrame, **_) -> DataFrame:
 def rerank(questions: DataFrame, corpus: DataFrame, **_) -> DataFrame:
     """Twenty candidates, ordered anew by the words they cover, then by BM25; five stay. score is the coverage."""
     index = Corpus(corpus, _asked(questions))
-    scored = index.cosine(20).select("query_id", "doc_id").join(index.scores, ["query_id", "doc_id"])
-    w = Window.partitionBy("query_id").orderBy(F.desc("coverage"), F.desc("bm25"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("query_id", "doc_id", F.col("coverage").cast("double").alias("score"), "rank")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("bm25"), "doc_id")
+    scored = index.ranked(cosine=20).withColumn("score", model("rerank_score")(F.col("coverage"), F.col("bm25")))
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("query_id", "doc_id", "score", "rank")
 
 
 def route(questions: DataFrame, corpus: DataFrame, pages: DataFrame, **_) -> DataFrame:
@@ -67,7 +67,7 @@ def route(questions: DataFrame, corpus: DataFrame, pages: DataFrame, **_) -> Dat
 
 def hybrid(questions: DataFrame, corpus: DataFrame, **_) -> DataFrame:
     index = Corpus(corpus, _asked(questions))
-    return reciprocal_rank_fusion(concatenated([index.cosine(20), index.bm25(20)]))
+    return reciprocal_rank_fusion(index.lists(cosine=20, bm25=20))
 
 
 CHAINS: dict[str, Callable[..., DataFrame]] = {"naive": naive, "hyde": hyde, "multi_query": multi_query, "rag_fusion": rag_fusion, "rerank": rerank, "route": route, "hybrid": hybrid}

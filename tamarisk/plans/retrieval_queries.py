@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.functions.text import tokens
-from tamarisk.operators.fuse import concatenated
 from tamarisk.operators.retrieve import Corpus, vector_top_k
 from tamarisk.plans.chains import contexts, create_chain
 from tamarisk.plans.sql import DOCS, ITEMS, PAGES, WORDS, fused, search, top
@@ -47,8 +46,7 @@ def web_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dual_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _corpus(spark, sf_dir)
-    return concatenated([index.cosine(20), index.bm25(20)])
+    return _corpus(spark, sf_dir).lists(cosine=20, bm25=20)
 
 
 def _chain(name: str):
