@@ -56,6 +56,30 @@ def new_inquiry_id() -> Column:
     return F.concat(F.lit("inq_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))
 
 
+def new_thread_id() -> Column:
+    """32 hexadecimal digits; another for every row and run."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
+def now_utc() -> Column:
+    return F.current_timestamp()
+
+
+def json_record(*columns: str, nulls: bool = True) -> Column:
+    """The columns of a row as a JSON object; nulls are written unless left out."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": str(not nulls).lower()})
+
+
+def unescaped(text: Column) -> Column:
+    """Text with the escapes of a JSON string read; what isn't one stays as it is."""
+    return F.coalesce(F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>")[0], text)
+
+
+def document_key(*columns: str) -> Column:
+    """A key of a document with its metadata: equal exactly where all columns are."""
+    return F.sha2(json_record(*columns), 256)
+
+
 def random_integer(low: int, high: int, seed: int | None = None) -> Column:
     """Uniform, both ends included."""
     return (F.floor(F.rand(seed) * (high - low + 1)) + low).cast("int")

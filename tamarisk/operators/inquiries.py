@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
-from tamarisk.functions.scalars import edit_similarity, is_filled
+from tamarisk.functions.scalars import edit_similarity, is_filled, new_inquiry_id, now_utc
 
 STATUSES, TOPICS = ("processing", "draft", "sent", "error"), ("product", "development", "other", "spam")
 DRAFT = "struct<subject:string,body:string,quality_scores:struct<politeness:string,politeness_reason:string>>"
@@ -24,6 +25,29 @@ def create_table(spark, name: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({SCHEMA}) USING parquet")
 
 
+def stamped(df: DataFrame, now: Column) -> DataFrame:
+    """Rows as new inquiries: all columns of the table; id, status, alert and times have their defaults where they are missing or null."""
+    given = {c.lower() for c in df.columns}
+    defaults = {"id": new_inquiry_id(), "status": F.lit("processing"), "quality_alert": F.lit(False), "created_at": now, "updated_at": now}
+    kinds = _parse_datatype_string(SCHEMA)
+    value = lambda f: F.col(f.name) if f.name in given else F.lit(None).cast(f.dataType)
+    return df.select(*[(F.coalesce(value(f), defaults[f.name]) if f.name in defaults else value(f)).cast(f.dataType).alias(f.name) for f in kinds])
+
+
+def insert(df: DataFrame, path: str, now: Column | None = None) -> None:
+    """Append one row or many at once: Spark's commit makes all of them visible or none."""
+    stamped(df, now_utc() if now is None else now).write.mode("append").parquet(path)
+
+
+def delete_all(spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(path)
+
+
+def is_confidence(x: Column) -> Column:
+    """From 0 to 1; null is not."""
+    return F.coalesce(x.between(0, 1), F.lit(False))
+
+
 def matches(filters: dict[str, object]) -> Column:
     """Equality on every given column; None and 'all' stand for no condition."""
     given = [F.col(c) == v for c, v in filters.items() if v is not None and v != "all"]
@@ -79,22 +103,26 @@ def decode(df: DataFrame) -> DataFrame:
 def fold(events: DataFrame) -> DataFrame:
     """Current state of each inquiry from events (id, seq, kind, topic, confidence, draft, final, edit_similarity, at).
 
+    Events may also carry quality_alert and call_id, which a generated draft sets, and operator_edited_topic, which sending sets.
     Kinds: created, generated, failed, retried, saved, retopic, sent. The latest event of a kind that sets a column wins; a
     generated draft sets topic and original topic, also after an operator changed it, and keeps the final text.
     """
     status = F.create_map(*[F.lit(x) for p in {"created": "processing", "generated": "draft", "failed": "error", "retried": "processing", "saved": "draft", "sent": "sent"}.items() for x in p])
     kind = F.col("kind")
     last = lambda c, *kinds: F.max_by(F.col(c), F.when(kind.isin(*kinds), F.col("seq"))) if kinds else F.max_by(F.col(c), "seq")
+    more = [last(c, kind_of).alias(c) for c, kind_of in (("quality_alert", "generated"), ("call_id", "generated"), ("operator_edited_topic", "sent")) if c in events.columns]
     return events.groupBy("id").agg(
-        F.max_by(status[kind], F.when(kind != "retopic", F.col("seq"))).alias("status"), last("topic", "generated", "retopic").alias("topic"), last("topic", "generated").alias("original_topic"),
+        *more, F.max_by(status[kind], F.when(kind != "retopic", F.col("seq"))).alias("status"), last("topic", "generated", "retopic").alias("topic"), last("topic", "generated").alias("original_topic"),
         last("confidence", "generated").alias("classification_confidence"), last("draft", "generated").alias("draft"), last("final", "saved", "sent").alias("final"),
         last("edit_similarity", "sent").alias("edit_similarity"), F.min(F.when(kind == "created", F.col("at"))).alias("created_at"), F.max("at").alias("updated_at"), F.max(F.when(kind == "sent", F.col("at"))).alias("sent_at"),
     )
 
 
-def apply_updates(current: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """Keyed upsert: columns of updates replace those of current where not null; new keys are added."""
+def apply_updates(current: DataFrame, updates: DataFrame, key: str = "id", sets: tuple[str, ...] = ()) -> DataFrame:
+    """Keyed upsert: columns of updates replace those of current where not null, those named in sets also where null; new keys
+    are added. Columns that an update lacks are null in new rows."""
     changed = [c for c in updates.columns if c != key]
-    u = updates.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in changed])
+    u = updates.select(F.col(key), F.lit(True).alias("_there"), *[F.col(c).alias(f"_new_{c}") for c in changed])
     joined = current.join(u, key, "full")
-    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in changed else F.col(c) for c in current.columns])
+    new = lambda c: F.when(F.col("_there"), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in sets else F.coalesce(f"_new_{c}", c)
+    return joined.select(*[new(c).alias(c) if c in changed else F.col(c) for c in current.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tamarisk.functions import models, scalars
 from tamarisk.operators import evals, inquiries
-from tamarisk.sources.files import latest_row
+from tamarisk.sources.files import flatten_examples, latest_row
 from tamarisk.sources.tables import load
 
 _PAGE = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"]
@@ -38,11 +38,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select(
         F.col("user_id").alias("id"), F.col("event_id").alias("seq"), kinds[(F.col("event_id") % 8).cast("int")].alias("kind"), topics[(F.col("user_id") % 4).cast("int")].alias("topic"),
         F.round("value", 4).alias("confidence"), F.col("event_type").alias("draft"), F.col("event_type").alias("final"), (F.col("event_id") % 100 / 100.0).alias("edit_similarity"), F.col("ts").alias("at"),
+        (F.col("event_id") % 3 == 0).alias("quality_alert"), F.col("event_id").cast("string").alias("call_id"), (F.col("event_id") % 5 == 0).alias("operator_edited_topic"),
     )
 
 
 def status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inquiries.fold(_events(spark, sf_dir)).select("id", "status", "topic", "original_topic", "classification_confidence", "draft", "final", "edit_similarity", "created_at", "updated_at", "sent_at")
+    return inquiries.fold(_events(spark, sf_dir)).select("id", "status", "topic", "original_topic", "classification_confidence", "draft", "final", "edit_similarity", "created_at", "updated_at", "sent_at", "quality_alert", "call_id", "operator_edited_topic")
 
 
 def quality_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,14 @@ def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = load(spark, sf_dir, "events").withColumn("p", F.from_json(F.nullif("props", F.lit("")), "map<string,string>"))
-    return parsed.groupBy("event_type").agg(F.count("p").alias("n_decoded"), F.sum(F.size(F.map_keys("p"))).cast("long").alias("n_fields"))
+    """Events as stored inquiries: JSON text, empty or missing, and flags as integers."""
+    n = F.col("event_id")
+    raw = load(spark, sf_dir, "events").select(
+        "event_id", F.when(n % 3 > 0, scalars.json_record("event_type", "props")).otherwise("").alias("ai_response"), F.when(n % 4 > 0, F.concat(F.lit('{"subject":"s","body":"'), "event_type", F.lit('"}'))).alias("final_response"),
+        F.when(n % 5 > 0, (n % 2).cast("int")).alias("operator_edited_topic"), F.when(n % 7 > 0, (n % 2).cast("int")).alias("quality_alert"),
+    )
+    read = inquiries.decode(raw)
+    return read.select("event_id", F.col("ai_response").isNotNull().alias("has_draft"), F.col("final_response.body").alias("body"), "operator_edited_topic", "quality_alert")
 
 
 def feedback_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,15 +86,6 @@ def classification_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("accuracy"))
 
 
-def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the source of a labelled document is among the sources of documents of its language with the same first label."""
-    rows = _predictions(spark, sf_dir)
-    retrieved = rows.where("toxic = 0").select(F.col("lang").alias("key"), "source").distinct()
-    expected = rows.select(F.col("lang").alias("key"), "source").distinct()
-    hit = evals.context_recall(expected.withColumn("example", F.concat_ws("/", "key", "source")), retrieved.withColumn("example", F.concat_ws("/", "key", "source")), "example", "source")
-    return hit
-
-
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _predictions(spark, sf_dir)
     scored = rows.withColumns({"classification_accuracy": evals.accuracy(F.col("predicted"), F.col("quality")), "politeness": evals.judgement_score(F.when(F.col("predicted") == 1, F.when(F.col("toxic") == 1, "NG").otherwise("OK")), "OK", "NG")})
@@ -95,8 +93,10 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = load(spark, sf_dir, "customer").select(F.struct("c_name", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment")).alias("inputs"), F.struct("c_custkey").alias("expected_outputs"))
-    return nested.select("inputs.c_name", "inputs.segment", "expected_outputs.c_custkey")
+    """Customers as nested examples; what is missing is null."""
+    inputs = F.struct(F.col("c_name").alias("customer_name"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("company_name"), F.col("c_custkey").cast("string").alias("content"))
+    outputs = F.when(F.col("c_custkey") % 3 > 0, F.struct(F.lit("other").alias("topic"), F.lit("").alias("response_body")))
+    return flatten_examples(load(spark, sf_dir, "customer").select(inputs.alias("inputs"), outputs.alias("expected_outputs")))
 
 
 def dataset_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +151,7 @@ ev AS (
 _PRED = "p AS (SELECT l.*, n_chars, lang, source, CAST(n_chars >= 300 AS INT) AS predicted FROM labels l JOIN documents d USING (doc_id))"
 
 QUERIES = {f.__name__: f for f in (
-    inquiry_page, inquiry_count, inquiry_point_lookup, status_fold, quality_alert, validation_split, json_decode, feedback_kpi, classification_accuracy, context_recall, eval_summary, dataset_flatten,
+    inquiry_page, inquiry_count, inquiry_point_lookup, status_fold, quality_alert, validation_split, json_decode, feedback_kpi, classification_accuracy, eval_summary, dataset_flatten,
     dataset_latest_version, label_lookup, format_display, coalesce_fallback, topic_edited, classify_topics, upsert_latest, display_index,
 )}
 SQL = {
@@ -163,21 +163,22 @@ SELECT id, CASE arg_max(kind, seq) FILTER (kind <> 'retopic') WHEN 'created' THE
   arg_max(topic, seq) FILTER (kind IN ('generated', 'retopic')) AS topic, arg_max(topic, seq) FILTER (kind = 'generated') AS original_topic,
   arg_max(confidence, seq) FILTER (kind = 'generated') AS classification_confidence, arg_max(event_type, seq) FILTER (kind = 'generated') AS draft,
   arg_max(event_type, seq) FILTER (kind IN ('saved', 'sent')) AS final, arg_max(es, seq) FILTER (kind = 'sent') AS edit_similarity,
+  arg_max(seq % 3 = 0, seq) FILTER (kind = 'generated') AS quality_alert, CAST(arg_max(seq, seq) FILTER (kind = 'generated') AS VARCHAR) AS call_id, arg_max(seq % 5 = 0, seq) FILTER (kind = 'sent') AS operator_edited_topic,
   min(ts) FILTER (kind = 'created') AS created_at, max(ts) AS updated_at, max(ts) FILTER (kind = 'sent') AS sent_at
 FROM ev GROUP BY id""",
     "quality_alert": "SELECT doc_id, coalesce(CASE WHEN quality = 1 THEN 'OK' WHEN toxic = 1 THEN 'NG' END = 'NG', false) AS quality_alert FROM labels",
     "validation_split": "SELECT coalesce(role, '') <> '' AND coalesce(string_split(role, 's')[1], '') <> '' AS is_valid, role IN ('user', 'assistant') AS known_role, count(*) AS n FROM conversations GROUP BY ALL",
-    "json_decode": "SELECT event_type, count(nullif(props, '')) AS n_decoded, CAST(sum(len(json_keys(nullif(props, '')))) AS BIGINT) AS n_fields FROM events GROUP BY 1",
+    "json_decode": """SELECT event_id, event_id % 3 > 0 AS has_draft, CASE WHEN event_id % 4 > 0 THEN event_type END AS body, CASE WHEN event_id % 5 > 0 THEN event_id % 2 = 1 END AS operator_edited_topic,
+  event_id % 7 > 0 AND event_id % 2 = 1 AS quality_alert FROM events""",
     "feedback_kpi": f"""WITH {_EVENTS}
 SELECT c.topic, count(*) AS n, round(avg(CAST(f.seq % 3 > 0 AS INT)), 6) AS kept_rate, round(avg(f.es), 6) AS mean_similarity
 FROM ev f JOIN ev c ON c.seq = f.seq - 1 AND c.kind = 'generated' WHERE f.kind = 'sent' GROUP BY 1""",
     "classification_accuracy": f"WITH {_PRED} SELECT lang, count(*) AS n, round(avg(CAST(predicted = quality AS INT)), 6) AS accuracy FROM p GROUP BY 1",
-    "context_recall": f"""WITH {_PRED}, e AS (SELECT DISTINCT lang, source FROM p), r AS (SELECT DISTINCT lang, source FROM p WHERE toxic = 0)
-SELECT e.lang || '/' || e.source AS example, CAST(r.lang IS NOT NULL AS INT) AS score FROM e LEFT JOIN r USING (lang, source)""",
     "eval_summary": f"""WITH {_PRED}
 SELECT 'classification_accuracy' AS key, round(avg(CAST(predicted = quality AS INT)), 6) AS mean_score, count(*) AS n_scored FROM p
 UNION ALL SELECT 'politeness', round(avg(1 - toxic) FILTER (predicted = 1), 6), count(*) FILTER (predicted = 1) FROM p""",
-    "dataset_flatten": "SELECT c_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS segment, c_custkey FROM customer",
+    "dataset_flatten": """SELECT c_name AS customer_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS company_name, CAST(c_custkey AS VARCHAR) AS content,
+  CASE WHEN c_custkey % 3 > 0 THEN 'other' END AS expected_topic, CASE WHEN c_custkey % 3 > 0 THEN '' END AS expected_response_body FROM customer""",
     "dataset_latest_version": "SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1",
     "label_lookup": "SELECT CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' WHEN 'P' THEN 'Pending' ELSE 'Other' END AS label, count(*) AS n FROM orders GROUP BY 1",
     "format_display": """SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS shown, (o_orderkey % 100) || '%' AS share,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.functions.text import tokens
+from tamarisk.operators import evals
 from tamarisk.operators.retrieve import Corpus, vector_top_k
 from tamarisk.plans.chains import contexts, create_chain
 from tamarisk.plans.sql import DOCS, ITEMS, PAGES, WORDS, fused, search, top
@@ -62,6 +63,15 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.char_length("context").cast("long").alias("context_chars"), F.md5("context").alias("context_md5"))
 
 
+def context_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the label that an example expects is among those of the documents that the hybrid chain finds for its question. The
+    expected label is the source of the document with the example's number."""
+    labels = load(spark, sf_dir, "documents").select("doc_id", "source")
+    expected = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key")).join(labels.withColumnRenamed("doc_id", "key"), "key")
+    found = create_chain("hybrid")(_questions(spark, sf_dir), _docs(spark, sf_dir)).join(labels, "doc_id").select(F.col("query_id").alias("key"), "source")
+    return evals.context_recall(expected, found, "key", "source")
+
+
 _HALF = "CAST(ceil(len(ws) / 2) AS BIGINT)"
 _VARIANTS = f"""
 SELECT query_id * 10 + no AS query_id, ws FROM (
@@ -73,7 +83,7 @@ _ROUTED = "SELECT * FROM (" + ITEMS.replace("FROM benchmark", "FROM benchmark WH
 
 QUERIES = {
     "vector_topk": vector_topk, "bm25_topk": bm25_topk, "cosine_topk": cosine_topk, "web_search": web_search, "dual_retrieval": dual_retrieval, "rrf_hybrid": _chain("hybrid"), "rag_naive": _chain("naive"),
-    "rag_hyde": _chain("hyde"), "rag_multi_query": _chain("multi_query"), "rag_fusion": _chain("rag_fusion"), "rag_rerank": _chain("rerank"), "rag_route": _chain("route"), "context_assembly": context_assembly,
+    "rag_hyde": _chain("hyde"), "rag_multi_query": _chain("multi_query"), "rag_fusion": _chain("rag_fusion"), "rag_rerank": _chain("rerank"), "rag_route": _chain("route"), "context_assembly": context_assembly, "context_recall": context_recall,
 }
 SQL = {
     "vector_topk": """
@@ -96,6 +106,9 @@ SELECT query_id, doc_id, CAST(coverage AS DOUBLE) AS score, rank FROM (
     SELECT c.query_id, c.doc_id, coverage, bm.score AS bm25 FROM ({top('cos', 20)}) c JOIN cov USING (query_id, doc_id) JOIN bm USING (query_id, doc_id))) WHERE rank <= 5""",
     "rag_route": f"""WITH {search(DOCS, _ROUTED.format(''))}, {search(PAGES, _ROUTED.format('NOT'), '2')}
 SELECT *, 'documents' AS source FROM ({top('cos', 5)}) UNION ALL SELECT *, 'web' FROM ({top('bm2', 5)})""",
+    "context_recall": f"""WITH {search()}, f AS ({fused(_BOTH)}),
+r AS (SELECT DISTINCT query_id, source FROM f JOIN documents USING (doc_id)), e AS (SELECT item_id AS key, source FROM benchmark JOIN documents ON doc_id = item_id)
+SELECT key, CAST(count(r.source) > 0 AS INT) AS score FROM e LEFT JOIN r ON r.query_id = e.key AND r.source = e.source GROUP BY key""",
     "context_assembly": f"""WITH {search()}, f AS ({fused(_BOTH)}),
 c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM f JOIN documents USING (doc_id) GROUP BY 1)
 SELECT query_id, CAST(length(context) AS BIGINT) AS context_chars, md5(context) AS context_md5 FROM c""",

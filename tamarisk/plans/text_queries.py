@@ -22,8 +22,7 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = docs.lateralJoin(text.RecursiveChunks(F.col("text").outer(), F.lit(text.SIZE), F.lit(text.OVERLAP)))
+    rows = text.recursive_chunk_rows(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "chunk_no", F.char_length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
 
 

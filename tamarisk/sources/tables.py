@@ -13,10 +13,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or of our own where that is unset."""
+    """A new folder that all executors share: below spark.checkpoint.dir. Where that is unset: below the warehouse on a cluster,
+    a temporary one only where driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tamarisk-")
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = "file://" + tempfile.mkdtemp(prefix="tamarisk-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tamarisk"
         spark.sparkContext.setCheckpointDir(found)
     path = f"{found.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm

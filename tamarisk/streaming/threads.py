@@ -58,13 +58,29 @@ def enriched(inquiries: DataFrame) -> DataFrame:
     return others.unionByName(judged.where("topic = 'spam'").withColumn("quality_alert", F.lit(False)), allowMissingColumns=True)
 
 
-def enrich_stream(stream: DataFrame, path: str, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None):
-    """Each micro-batch is enriched and appended; a batch that is run again after a failure replaces its own files."""
+def outcome(rows: DataFrame) -> DataFrame:
+    """Enriched inquiries with the status of their job: error where a model function gave no topic, or no draft for what is no
+    spam; else draft."""
+    failed = F.col("topic").isNull() | (F.col("topic") != "spam") & F.col("draft").isNull()
+    return rows.withColumn("status", F.when(failed, "error").otherwise("draft"))
+
+
+def job(inquiries: DataFrame) -> DataFrame:
+    """All of a batch through the models: those without content can't be judged and end as errors, the others go on."""
+    good = outcome(enriched(inquiries.where("content IS NOT NULL"))).withColumn("error", F.lit(None).cast("string"))
+    bad = inquiries.where("content IS NULL").withColumns({"status": F.lit("error"), "error": F.lit("no content")})
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+def enrich_stream(stream: DataFrame, path: str, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None, every: str | None = None):
+    """Each micro-batch is enriched and appended; a batch that is run again after a failure replaces its own files. Without
+    every (such as "5 seconds") the stream takes all there is and ends."""
 
     def default(batch: DataFrame, number: int) -> None:
-        enriched(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        job(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write or default).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return stream.writeStream.foreachBatch(write or default).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def windowed_counts(stream: DataFrame, ts: str = "ts", delay: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tamarisk.functions import models, scalars, text
-from tamarisk.operators import conversations, evals, inquiries
+from tamarisk.operators import agents, conversations, evals, inquiries
 from tamarisk.operators.fuse import concatenated, reciprocal_rank_fusion
 from tamarisk.operators.retrieve import Corpus, vector_top_k
 from tamarisk.plans.chains import create_chain, events
@@ -239,3 +239,124 @@ def test_stream_tables(spark, tmp_path, parts):
     else:
         own.write_bytes(Path("/root/testdata/sf0.001/events.parquet").read_bytes())
     assert stream_queries.QUERIES["windowed_events"](spark, str(tmp_path)).agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_chunk_rows_by_plain_splitter(spark):
+    """Recursive chunks as a table against the rule written out plainly."""
+
+    def pieces(t, marks):
+        if len(t) <= 50:
+            return [t] if t else []
+        mark = next((m for m in marks if m in t), None)
+        if mark is None:
+            return [t[i : i + 50] for i in range(0, len(t), 50)]
+        parts = t.split(mark)
+        whole = [x + mark for x in parts[:-1]] + [parts[-1]]
+        return [y for x in whole if x for y in pieces(x, marks[marks.index(mark) + 1 :])]
+
+    def plain(t):
+        out, held = [], []
+        for p in pieces(t, ["\n\n", "\n", " "]):
+            if held and len("".join(held)) + len(p) > 50:
+                out.append("".join(held))
+                while held and (len("".join(held)) > 10 or len("".join(held)) + len(p) > 50):
+                    held = held[1:]
+            held.append(p)
+        return out + (["".join(held)] if held else [])
+
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice(("word ", "x", " ", "\n", "\n\n", "é" * 20)) for _ in range(r.randrange(120))) for _ in range(60)] + [None, "", "y" * 300_000]
+    rows = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "id int, text string, chunk string")
+    got = {}
+    for x in text.recursive_chunk_rows(rows, size=50, overlap=10).orderBy("id", "chunk_no").collect():
+        got.setdefault(x.id, []).append(x.chunk)
+    assert got == {i: plain(t) if t else [""] for i, t in enumerate(texts)}
+
+
+def test_tool_loop(spark):
+    messages = spark.createDataFrame([("a", 0, "user", "go", None), ("b", 0, "user", "never", None), ("c", 0, "assistant", "said", None)], agents.MESSAGES)
+    ask = lambda *names: F.array(*[F.struct(F.lit(str(i)).alias("id"), F.lit(n).alias("name"), F.lit("1").alias("args")) for i, n in enumerate(names)])
+
+    def model(content, n):
+        more = (n == 0) | (content == "again")
+        return F.struct(F.when(more, "").otherwise("end").alias("content"), F.when(more & (content == "go"), ask("two", "none")).when(more, ask("again")).alias("calls"))
+
+    done = agents.tool_loop(messages, model, {"two": lambda a: F.concat(a, F.lit("2")), "again": lambda a: F.lit("again")}, rounds=3)
+    found = {}
+    for x in done.orderBy("thread_id", "seq").collect():
+        found.setdefault(x.thread_id, []).append((x.role, x.content))
+    assert found["a"] == [("user", "go"), ("assistant", ""), ("tool", "12"), ("tool", "unknown tool: none"), ("assistant", "end")]
+    assert len(found["b"]) == 1 + 2 * 3 and found["c"] == [("assistant", "said")]
+    assert {x.thread_id: x.content for x in agents.final_content(done).collect()}["a"] == "end"
+    assert one(spark, *[agents.has_calls(c) for c in (F.lit(None).cast(agents.CALLS), F.array().cast(agents.CALLS), ask("x"))]) == (False, False, True)
+
+
+def test_insert_and_delete(spark, tmp_path):
+    path = str(tmp_path / "inquiries")
+    inquiries.delete_all(spark, path)
+    rows = spark.createDataFrame([("n", "e", "c")], "customer_name string, customer_email string, content string")
+    inquiries.insert(rows, path)
+    inquiries.insert(rows.withColumns({"status": F.lit("sent"), "classification_confidence": F.lit(1)}), path)
+    got = spark.read.schema(inquiries.SCHEMA).parquet(path).orderBy("status").collect()
+    assert [r.status for r in got] == ["processing", "sent"] and got[0].id != got[1].id and got[1].classification_confidence == 1.0
+    assert all(r.created_at == r.updated_at and r.quality_alert is False and r.topic is None for r in got)
+    inquiries.delete_all(spark, path)
+    assert spark.read.schema(inquiries.SCHEMA).parquet(path).count() == 0
+    assert one(spark, *[inquiries.is_confidence(F.lit(x).cast("double")) for x in (0.0, 1.0, 1.01, -0.1, None)]) == (True, True, False, False, False)
+
+
+def test_updates_to_null(spark):
+    current = spark.createDataFrame([("1", "draft", "x"), ("2", "sent", "y")], "id string, status string, topic string")
+    changes = spark.createDataFrame([("1", "sent", None)], "id string, status string, topic string")
+    assert sorted(map(tuple, inquiries.apply_updates(current, changes, sets=("topic",)).collect()), key=str) == [("1", "sent", None), ("2", "sent", "y")]
+
+
+def test_jobs_and_events(spark, tmp_path):
+    ddl = "id string, customer_name string, company_name string, content string"
+    rows = [("1", "n", "", "cheap casino"), ("2", "n", "", "a system"), ("3", "n", "", None)]
+    got = {r.id: (r.status, r.topic, r.error) for r in threads.job(spark.createDataFrame(rows, ddl)).collect()}
+    assert got == {"1": ("draft", "spam", None), "2": ("draft", "development", None), "3": ("error", None, "no content")}
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "q"))
+    query = threads.enrich_stream(spark.readStream.schema(ddl).parquet(str(tmp_path / "q")), str(tmp_path / "out"), str(tmp_path / "c"), every="1 seconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).where("status = 'error'").count() == 1
+    found = agents.staged({"one": spark.createDataFrame([(1, "a")], "id int, x string"), "two": spark.createDataFrame([(1, 2)], "id int, y int")}, "id", {"two": F.when(F.col("y") > 1, "big")})
+    assert sorted(map(tuple, found.collect())) == [(1, "one", "update", '{"x":"a"}'), (1, "two", "custom", "big"), (1, "two", "update", '{"y":2}')]
+    questions = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d")], "query_id int, text string")
+    answered = spark.createDataFrame([(1, "a"), (2, "other"), (3, None)], "query_id int, text string")
+    assert sorted(r.query_id for r in agents.changed(questions, answered).collect()) == [2, 4]
+
+
+def test_keys_and_escapes(spark):
+    assert one(spark, scalars.unescaped(F.lit("caf\\u00e9")), scalars.unescaped(F.lit('a"b')), scalars.new_thread_id().rlike("^[0-9a-f]{32}$")) == ("café", 'a"b', True)
+    rows = spark.createDataFrame([("a", 1), ("a", None), ("a", 1)], "x string, p int").select(scalars.document_key("x", "p").alias("k"), scalars.json_record("x", "p").alias("j")).collect()
+    assert rows[0].k == rows[2].k != rows[1].k and rows[1].j == '{"x":"a","p":null}'
+
+
+def test_seeds(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text("- customer_name: n\n  customer_email: e\n  content: c\n  status: sent\n  minutes_ago: 5\n  ai_response: {subject: s, body: b, quality_scores: {politeness: OK}}\n")
+    row = files.read_seeds(spark, str(tmp_path / "s.yaml")).first()
+    assert (row.customer_name, row.minutes_ago, row.ai_response.quality_scores.politeness, row.final_response) == ("n", 5, "OK", None)
+
+
+def test_retrieval_in_blocks(spark, monkeypatch):
+    """Many blocks of queries, and small pieces of the corpus, give what one gives."""
+    import random
+
+    from tamarisk.operators import retrieve
+
+    r = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(30)}" for _ in range(r.randrange(12)))) for i in range(300)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, [f"w{r.randrange(30)}" for _ in range(4)]) for i in range(20)], "query_id long, words array<string>")
+    vectors = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(200)], "vec_id long, embedding array<double>")
+    run = lambda: (sorted(map(tuple, Corpus(docs, asked).ranked(bm25=7, cosine=3).collect())), sorted(map(tuple, vector_top_k(vectors.where("vec_id % 10 = 0"), vectors, 4).collect())))
+    whole = run()
+    for name, value in (("BLOCK_TERMS", 20), ("BLOCK_BYTES", 300), ("SCORES", 50), ("SLICE", 500)):
+        monkeypatch.setattr(retrieve, name, value)
+    assert run() == whole and len(whole[0]) > 100
+    assert Corpus(docs, asked.limit(0)).cosine(3).count() == 0
