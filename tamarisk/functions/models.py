@@ -26,7 +26,7 @@ HYDE_SUFFIX = " The answer is as follows."
 
 def judge_spam(inquiry: Column) -> Column:
     """{is_spam, reason}."""
-    found = classify_topic(inquiry)["topic"] == "spam"
+    found = model("classify_topic")(inquiry)["topic"] == "spam"
     return F.struct(found.alias("is_spam"), F.when(found, "unsolicited offer").otherwise("inquiry").alias("reason"))
 
 
@@ -55,7 +55,7 @@ def check_quality(body: Column) -> Column:
 
 def politeness_judge(response: Column) -> Column:
     """{score 1 or 0, comment}; a missing response has a null score."""
-    good = check_quality(response)
+    good = model("check_quality")(response)
     return F.struct(F.when(response.isNotNull(), (good["politeness"] == "OK").cast("int")).alias("score"), F.when(response.isNotNull(), good["politeness_reason"]).alias("comment"))
 
 

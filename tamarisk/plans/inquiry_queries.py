@@ -126,10 +126,10 @@ def topic_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classify_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topics by words: part names as inquiries; spam gets no draft."""
-    judged = load(spark, sf_dir, "part").select("p_partkey", models.classify_topic(F.concat_ws(" ", "p_name", "p_type")).alias("t"), F.concat_ws(" ", "p_name", "p_type").alias("content"))
-    reply = models.generate_response(F.col("t.topic"), F.lit("A"), F.lit(""), F.col("content"))
+    judged = load(spark, sf_dir, "part").select("p_partkey", models.model("classify_topic")(F.concat_ws(" ", "p_name", "p_type")).alias("t"), F.concat_ws(" ", "p_name", "p_type").alias("content"))
+    reply = models.model("generate_response")(F.col("t.topic"), F.lit("A"), F.lit(""), F.col("content"))
     drafted = judged.select("p_partkey", "t.topic", F.round("t.confidence", 6).alias("confidence"), F.when(F.col("t.topic") != "spam", reply).alias("draft"))
-    return drafted.select("p_partkey", "topic", "confidence", F.col("draft.body").alias("body"), inquiries.quality_alert(models.check_quality(F.col("draft.body"))["politeness"]).alias("quality_alert"))
+    return drafted.select("p_partkey", "topic", "confidence", F.col("draft.body").alias("body"), inquiries.quality_alert(models.model("check_quality")(F.col("draft.body"))["politeness"]).alias("quality_alert"))
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:

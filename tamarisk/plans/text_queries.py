@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.functions import scalars, text
-from tamarisk.functions.models import answer_hallucination, forbidden_content_judge
+from tamarisk.functions.models import model
 from tamarisk.operators import conversations
 from tamarisk.operators.fuse import first_seen
 from tamarisk.sources.tables import load
@@ -88,7 +88,7 @@ def rejected_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def forbidden_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = load(spark, sf_dir, "documents").select(forbidden_content_judge(F.col("text")).alias("j"))
+    judged = load(spark, sf_dir, "documents").select(model("forbidden_content_judge")(F.col("text")).alias("j"))
     return judged.groupBy("j.score", "j.comment").agg(F.count("*").alias("n"))
 
 
@@ -96,7 +96,7 @@ def hallucination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether an assistant's words all come from the turn before."""
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.tokens(F.col("text")).alias("words"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("words").alias("context"))
-    return turns.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", answer_hallucination(F.col("context"), F.col("words")).alias("score"))
+    return turns.where("role = 'assistant'").join(before, ["conv_id", "turn"]).select("conv_id", "turn", model("answer_hallucination")(F.col("context"), F.col("words")).alias("score"))
 
 
 def thread_states(spark: SparkSession, sf_dir: str) -> DataFrame:
