@@ -360,3 +360,14 @@ def test_retrieval_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(retrieve, name, value)
     assert run() == whole and len(whole[0]) > 100
     assert Corpus(docs, asked.limit(0)).cosine(3).count() == 0
+
+
+def test_entry_without_a_library():
+    """Where a library of the corpus operators is missing, the other queries are still there."""
+    import os
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'rrf_hybrid' in q and not any(x.startswith('op') or x == 'pipeline' for x in q); assert not set(e.oracle_sql()) - set(q)"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
