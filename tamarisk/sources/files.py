@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,7 +96,8 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, name: str) -> int:
-    """Append df as the next version of a named dataset; gives that version."""
+    """Write df as the next version of a named dataset; gives that version. A version that is there already is an error, so a
+    second writer that comes to the same number fails instead of mixing its rows in."""
     spark = df.sparkSession
     try:
         last = spark.read.parquet(path).where(F.col("name") == name).agg(F.max("version")).first()[0] or 0
@@ -103,7 +105,7 @@ def publish(df: DataFrame, path: str, name: str) -> int:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         last = 0
-    df.withColumns({"name": F.lit(name), "version": F.lit(last + 1)}).write.mode("append").partitionBy("name", "version").parquet(path)
+    df.write.mode("error").parquet(f"{path}/name={quote(name, safe='')}/version={last + 1}")
     return last + 1
 
 

@@ -143,8 +143,8 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in files.read_cues(spark, str(tmp_path / "t.vtt")).collect()] == [(1500, 2000, "hello\nyou"), (3600000, 3601000, "end")]
     df = spark.createDataFrame([(1,)], "x int")
     store = str(tmp_path / "store")
-    assert (files.publish(df, store, "n"), files.publish(df, store, "n")) == (1, 2)
-    assert [r.version for r in files.latest(spark.read.parquet(store)).collect()] == [2]
+    assert (files.publish(df, store, "n"), files.publish(df, store, "n"), files.publish(df, store, "a/b c")) == (1, 2, 1)
+    assert sorted((r.name, r.version) for r in files.latest(spark.read.parquet(store)).collect()) == [("a/b c", 1), ("n", 2)]
     (tmp_path / "p").mkdir()
     (tmp_path / "p/a.pdf").write_bytes(b"one|two")
     pages = files.scan_documents(spark, str(tmp_path / "p"), lambda b: b.decode().split("|")).orderBy("page").collect()
