@@ -32,8 +32,8 @@ LEAST_KEY = 10
 NO_ID = (1 << 63) - 1
 #: About so many rows are sampled for frequent keys: those with one row in FREQUENT, so there are FREQUENT of them at most.
 SAMPLE, FREQUENT = 200_000, 1_000
-#: So many ids are broadcast to pick the texts that lose lines (16 bytes each); more are joined by a shuffle of the texts.
-BROADCAST_IDS = 2_000_000
+#: So many hashes are broadcast to pick the texts that lose lines (8 bytes each); more are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
 
 _EVENTS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("text_key", pa.int64()), ("lines", pa.binary()), ("n_lines", pa.int64())])
 
@@ -165,7 +165,7 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_columns
         pairs = zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True)
-        cut = [kept_lines(t, k) for t, k in pairs]
+        cut = [t if k is None else kept_lines(t, k) for t, k in pairs]
         yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(cut, pa.string())], [*batch.schema.names[: n - 2], "_kept"])
 
 
@@ -177,15 +177,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maps = stored(line_bitmaps(docs, id_col, text_col), "bitmaps")
     columns = passed_through(docs, docs.columns if columns is None else columns, ("_n_lines", "_n_dropped", "_kept"))
     doc, text, text_key = _whole(id_col, text_col)
-    own = docs.select(held(columns), text, doc, text_key)
-    losing = maps.where("n_dropped > 0")
-    pairs = losing.select("doc", "text_key")
-    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    on = ["doc", "text_key"]
-    whole = own.join(F.broadcast(pairs) if few else pairs, on, "left_anti")
+    code = F.xxhash64("doc", "text_key").alias("code")
+    own = docs.select(held(columns), text, doc, text_key).select("*", code)
+    losing = maps.where("n_dropped > 0").select("doc", "text_key", "n_lines", "n_dropped", "keep")
+    codes = losing.select(code)
+    few = codes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    codes = F.broadcast(codes) if few else codes
+    whole = own.join(codes, "code", "left_anti")
     # every row of the table is one line longer than it has line ends
     n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     whole = whole.select("own", n_lines.cast("long").alias("_n_lines"), F.lit(0).cast("long").alias("_n_dropped"), F.col("text").alias("_kept"))
-    some = own.join(F.broadcast(pairs) if few else pairs, on, "left_semi").join(losing, on).select("own", F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), "text", "keep")
+    # a text that only has the code of another finds no bitmap, and stays as it is
+    some = own.join(codes, "code", "left_semi").join(losing, ["doc", "text_key"], "left")
+    some = some.select("own", F.coalesce("n_lines", n_lines).cast("long").alias("_n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"), "text", "keep")
     cut = some.mapInArrow(sliced(_applied), StructType([*some.schema.fields[:3], StructField("_kept", StringType())]))
     return whole.unionByName(cut).select(*let_go(columns), "_n_lines", "_n_dropped", "_kept")
