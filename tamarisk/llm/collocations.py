@@ -2,13 +2,13 @@
 
 From every word of a text its suffix within the piece starts, cut to `most` words. Suffixes, with how often they occur in a
 slice of texts, are dealt by language and first word and sorted in reverse lexicographic order. There every phrase comes
-before its beginnings, so one stack of open prefixes counts them all: when the first k words change, the count of that
-prefix is complete, and goes to the prefix that is one word shorter. Slices are counted with numpy: suffixes of equal
-words lie side by side, and only the prefixes that are open at the end of a batch stay on the stack.
+before its beginnings, so one stack of open prefixes for each language counts them all: when the first k words change, the
+count of that prefix is complete. Batches are counted with numpy, equal prefixes lying side by side; only the prefixes that
+are open at the end of a batch stay on the stack.
 
-A first word of very many suffixes (HOT_SHARE of a task's share of them) is dealt over several tasks by its further words; what
-tasks count of its phrases is added up. So no task holds more than its share, whatever one word or one pair of words makes up.
-Then the counts of both parts of each candidate are joined to it.
+A first word of very many suffixes (HOT_SHARE of a task's share of all words) is dealt over several tasks by its further
+words, and what they count of its phrases is added up. So no task holds more than its share, whatever one word or one pair
+of words makes up. Then the counts of both parts of each candidate are joined to it.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ HOT_SHARE = 0.25
 #: First words of fewer suffixes are never dealt out.
 HOT_LEAST = 20_000
 #: Bytes of text that are counted at a time.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Tables of so many rows are broadcast (counts of a phrase take about 50 bytes); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows of a language are ranked in groups of so many, then in groups of the next number, and at last together.
@@ -74,22 +74,41 @@ def _languages(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
+def _frequent_words(share: float):
+    """lang, word, c of the words that make up at least this share of a slice; and without a word the number of all words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, SLICE):
+            lang, languages = _languages(batch.column(0))
+            text, _, code, words = words_of(batch.column(1))
+            width = max(len(words), 1)
+            keys, counts = np.unique(lang[text] * width + code, return_counts=True)
+            often = counts >= share * len(code)
+            keys, counts = keys[often], counts[often]
+            names = [*(x.as_py().decode() for x in words.take(pa.array(keys % width))), None]
+            yield pa.RecordBatch.from_arrays([pa.array([*languages.take(pa.array(keys // width)).to_pylist(), None], pa.string()), pa.array(names, pa.string()), pa.array([*counts.tolist(), len(code)], pa.int64())], ["lang", "word", "c"])
+
+    return run
 
 
-def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, c of each slice."""
-    for batch in in_slices(batches, SLICE):
-        lang, languages = _languages(batch.column(0))
-        text, _, code, words = words_of(batch.column(1))
-        width = max(len(words), 1)
-        keys, counts = _counted(lang[text] * width + code)
-        yield pa.RecordBatch.from_arrays([languages.take(pa.array(keys // width)), words.take(pa.array(keys % width)).cast(pa.large_string()).cast(pa.string()), pa.array(counts)], ["lang", "word", "c"])
+def _hashed(names: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names), np.uint64, len(names))
 
 
-def _suffix_rows(most: int, salts):
-    """lang, salt, w1 ... of each distinct suffix in a slice, and c; words that are not there are null."""
+def _mixed(parts: list[np.ndarray]) -> np.ndarray:
+    """A number from several, the same in every task."""
+    out = np.zeros(len(parts[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            out = (out ^ p) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+    return (out >> np.uint64(1)).astype(np.int64)
+
+
+def _suffix_rows(most: int, parts: int, salts):
+    """part, lang, suffix, split, c of each distinct suffix in a slice. A space follows each word of a suffix, so that those
+    with equal first words stand side by side when sorted. part is the task that counts it; split tells that others count more
+    suffixes of the same first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, SLICE):
@@ -98,59 +117,91 @@ def _suffix_rows(most: int, salts):
             n, width = len(code), len(words) + 1
             if not n:
                 continue
-            columns = [code + 1]
+            columns = [code + 1]  # 0 where the piece has ended
             for k in range(1, most):
                 later = np.zeros(n, np.int64)
                 same = np.flatnonzero(piece[k:] == piece[:-k]) if n > k else np.zeros(0, np.int64)
                 later[same] = code[same + k] + 1
                 columns.append(later)
-            # equal suffixes get equal numbers; these are numbered anew before they would take more than 62 bits
-            number, size = lang[text], len(languages)
-            for c in columns:
-                if size * width >= 1 << 62:
-                    found, number = np.unique(number, return_inverse=True)
-                    size = len(found)
-                number, size = number * width + c, size * width
-            _, place, counts = np.unique(number, return_index=True, return_counts=True)
+            own = lang[text]
+            if len(languages) * width**most < 1 << 62:
+                number = own
+                for c in columns:
+                    number = number * width + c
+                number, counts = np.unique(number, return_counts=True)
+                taken = []
+                for _ in range(most):
+                    number, c = np.divmod(number, width)
+                    taken.append(c)
+                own, columns = number, taken[::-1]
+            else:  # numbered anew after each word
+                number = own
+                for c in columns:
+                    number = np.unique(number, return_inverse=True)[1] * width + c
+                _, place, counts = np.unique(number, return_index=True, return_counts=True)
+                own, columns = own[place], [c[place] for c in columns]
             strings = words.cast(pa.large_string()).cast(pa.string())
-            parts = [c[place] for c in columns]
             spread = np.ones((len(languages), width), np.int64)
             for i, name in enumerate(languages.to_pylist()):
-                for word, over in zip(pc.index_in(pa.array(list(own := salts.value.get(name, {})), pa.string()), value_set=strings).to_pylist(), own.values(), strict=True):
+                hot = salts.value.get(name, {})
+                for word, over in zip(pc.index_in(pa.array(list(hot), pa.string()), value_set=strings).to_pylist(), hot.values(), strict=True):
                     if word is not None:
                         spread[i, word + 1] = over
-            times = spread[lang[text][place], parts[0]]
-            salt = np.zeros(len(place), np.int64)
-            hot = np.flatnonzero(times > 1)
-            if len(hot):
-                salt[hot] = 1 + _mixed_words(strings, [p[hot] for p in parts[1:]]) % times[hot]
-            taken = [pa.array(p - 1, mask=p == 0) for p in parts]
-            yield pa.RecordBatch.from_arrays([languages.take(pa.array(lang[text][place])), pa.array(salt), *[strings.take(t) for t in taken], pa.array(counts)], ["lang", "salt", *[f"w{k + 1}" for k in range(most)], "c"])
+            times = spread[own, columns[0]]
+            of_word = np.concatenate([np.zeros(1, np.uint64), _hashed(words.to_pylist())])
+            of_lang = _hashed([x.encode() for x in languages.to_pylist()])
+            salt = np.where(times > 1, _mixed([of_word[c] for c in columns[1:]] or [of_word[columns[0]]]) % times, 0)
+            part = _mixed([of_lang[own], of_word[columns[0]], salt.astype(np.uint64)]) % parts
+            suffix = pc.binary_join_element_wise(*[strings.take(pa.array(c - 1, mask=c == 0)) for c in columns], "", " ", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), languages.take(pa.array(own)), suffix, pa.array(times > 1), pa.array(counts)], ["part", "lang", "suffix", "split", "c"])
 
     return run
 
 
-def _mixed_words(strings: pa.Array, parts: list[np.ndarray]) -> np.ndarray:
-    """A number for the further words of each suffix that is the same in every task."""
-    of_word = np.zeros(len(strings) + 1, np.uint64)
-    for p in np.unique(np.concatenate(parts)) if parts else []:
-        if p:
-            of_word[p] = xxhash.xxh3_64_intdigest(strings[int(p) - 1].as_py())
-    out = np.zeros(len(parts[0]) if parts else 0, np.uint64)
-    with np.errstate(over="ignore"):
-        for p in parts:
-            out = (out ^ of_word[p]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(32)
-    return (out >> np.uint64(1)).astype(np.int64)
-
-
-def _changes(column: pa.Array, before: str | int | None, first: bool) -> np.ndarray:
-    """Where a column differs from the row above; before is what stood in the row above the first one."""
-    coded = column.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)  # nulls are equal
-    out = np.ones(len(column), bool)
-    out[1:] = coded[1:] != coded[:-1]
-    out[0] = first or column[0].as_py() != before
-    return out
+class _Stack:
+    """The prefixes that are open in one language: the words of the last suffix, and the count so far of each of its beginnings."""
+
+    def __init__(self, most: int, least: int) -> None:
+        self.most, self.least = most, least
+        self.words: list[str] | None = None
+        self.count, self.split = [0] * (most + 1), False
+
+    def _done(self, k: int, phrase: str | None, f: int, split: bool) -> Iterator[tuple]:
+        if phrase is not None and (split or f >= self.least or not k):
+            yield k, phrase, f, bool(k and not split)
+
+    def close(self) -> Iterator[tuple]:
+        for k in range(self.most + 1 if self.words is not None else 0):
+            yield from self._done(k, " ".join(self.words[:k]) if k <= len(self.words) else None, self.count[k], self.split)
+
+    def add(self, suffixes: pa.Array, split: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
+        """Of sorted suffixes: k, phrase, f and whole of the prefixes that are complete, leaving out the rare ones."""
+        lists = pc.split_pattern(suffixes.take(pa.array(np.arange(len(suffixes)))), " ")
+        offsets = lists.offsets.to_numpy()
+        words = lists.flatten()
+        code = words.dictionary_encode().indices.to_numpy()
+        size = np.diff(offsets) - 1  # an empty string follows the last space
+        new = np.zeros(len(c), bool)
+        last = self.words
+        for k in range(self.most + 1):
+            if k:
+                at = np.where(size >= k, code[np.minimum(offsets[:-1] + k - 1, len(code) - 1)], -1)
+                new[1:] |= at[1:] != at[:-1]
+                first = words[int(offsets[0]) + k - 1].as_py() if size[0] >= k else None
+                new[0] |= first != (last[k - 1] if last is not None and k <= len(last) else None)
+            if last is None:
+                new[0] = True
+            start = np.flatnonzero(new) if new[0] else np.concatenate([[0], np.flatnonzero(new)])
+            sums = np.add.reduceat(c, start)
+            if not new[0]:
+                sums[0] += self.count[k]
+            elif last is not None:
+                yield from self._done(k, " ".join(last[:k]) if k <= len(last) else None, self.count[k], self.split)
+            for i in np.flatnonzero((split[start[:-1]] | (sums[:-1] >= self.least)) & (size[start[:-1]] >= k)).tolist():
+                row = int(start[i])
+                yield from self._done(k, " ".join(words[int(offsets[row]) + j].as_py() for j in range(k)), int(sums[i]), bool(split[row]))
+            self.count[k] = int(sums[-1])
+        self.words, self.split = words[int(offsets[-2]) : int(offsets[-1]) - 1].to_pylist(), bool(split[-1])
 
 
 def _prefixes(most: int, least: int):
@@ -160,57 +211,37 @@ def _prefixes(most: int, least: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [0] * (most + 1)  # the stack: of each number of words the count so far of the open prefix
-        above: tuple | None = None  # lang, salt and words of the last row
+        stacks: dict[str, _Stack] = {}
 
-        def complete(k: int, languages: pa.Array, phrases: pa.Array, f: np.ndarray, salted: np.ndarray) -> pa.RecordBatch:
-            whole = ~salted & (k > 0)
-            use = pa.array(phrases.is_valid().to_numpy(zero_copy_only=False) & (~whole | (f >= least)))
-            columns = [languages.cast(pa.string()), pa.array(np.full(len(f), k, np.int32)), phrases.cast(pa.string()), pa.array(f.astype(np.int64)), pa.array(whole)]
-            return pa.RecordBatch.from_arrays([c.filter(use) for c in columns], ["lang", "k", "phrase", "f", "whole"])
-
-        def topmost(k: int) -> pa.RecordBatch:
-            words = above[2 : 2 + k]
-            return complete(k, pa.array([above[0]]), pa.array([None if None in words else " ".join(words)], pa.string()), np.array([held[k]]), np.array([above[1] > 0]))
+        def rows(lang: str, found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            if own := list(found):
+                k, phrase, f, whole = zip(*own, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(k, pa.int32()), pa.array(phrase, pa.string()), pa.array(f, pa.int64()), pa.array(whole)], ["lang", "k", "phrase", "f", "whole"])
 
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            count, salted = batch.column(batch.num_columns - 1).to_numpy(), columns[1].to_numpy() > 0
-            new, phrases = np.zeros(n, bool), pa.array([""] * n, pa.string())
-            for k in range(most + 1):
-                for i in ((0,), (1, 2))[k] if k < 2 else (k + 1,):
-                    new |= _changes(columns[i], None if above is None else above[i], above is None)
-                if k:
-                    phrases = columns[2] if k == 1 else pc.binary_join_element_wise(phrases, columns[k + 1], " ")
-                start = np.flatnonzero(new) if new[0] else np.concatenate([[0], np.flatnonzero(new)])
-                sums = np.add.reduceat(count, start)
-                if not new[0]:
-                    sums[0] += held[k]
-                elif above is not None:
-                    yield topmost(k)
-                done = pa.array(start[:-1])
-                if len(done):
-                    yield complete(k, columns[0].take(done), phrases.take(done), sums[:-1], salted[start[:-1]])
-                held[k] = int(sums[-1])
-            above = tuple(c[n - 1].as_py() for c in columns)
-        if above is not None:
-            yield from map(topmost, range(most + 1))
+            coded = batch.column(0).dictionary_encode()
+            code, split, c = coded.indices.to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
+            for i, lang in enumerate(coded.dictionary.to_pylist()):
+                own = np.flatnonzero(code == i)
+                yield from rows(lang, stacks.setdefault(lang, _Stack(most, least)).add(batch.column(1).take(pa.array(own)), split[own], c[own]))
+        for lang, stack in stacks.items():
+            yield from rows(lang, stack.close())
 
     return run
 
 
 def _hot(own: DataFrame, parts: int) -> dict[str, dict[str, int]]:
-    """Of each language the first words that are dealt out, and over how many tasks: at most parts / HOT_SHARE words."""
-    words = own.mapInArrow(_first_words, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
-    words = stored(words, "words")
-    total = words.agg(F.sum("c")).first()[0] or 0
-    most = max(HOT_LEAST, int(HOT_SHARE * total / parts))
+    """Of each language the first words that are dealt out, and over how many tasks. What a slice has too little of is not
+    counted, so a quarter of the share may be missing: fewer than 2 parts / HOT_SHARE words are."""
+    share = HOT_SHARE / parts
+    words = stored(own.mapInArrow(_frequent_words(share / 4), "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")), "words")
+    total = words.where("word IS NULL").agg(F.sum("c")).first()[0] or 0
+    most = max(HOT_LEAST, share * total) * 3 / 4
     out: dict[str, dict[str, int]] = {}
-    for r in words.where(F.col("c") > most).collect():
-        out.setdefault(r.lang, {})[r.word] = -(-r.c // most)
+    for r in words.where(F.col("word").isNotNull() & (F.col("c") > most)).collect():
+        out.setdefault(r.lang, {})[r.word] = int(-(-r.c // most))
     return out
 
 
@@ -225,10 +256,8 @@ def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10, lang_col: str
     parts = shuffle_partitions(spark)
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     salts = spark.sparkContext.broadcast(_hot(own, parts))
-    names = [f"w{k + 1}" for k in range(most)]
-    suffixes = own.mapInArrow(_suffix_rows(most, salts), f"lang string, salt long, {', '.join(f'{w} string' for w in names)}, c long")
-    dealt = suffixes.repartition(parts, "lang", "w1", "salt").sortWithinPartitions(*[F.col(c).desc() for c in ("lang", "w1", "salt", *names[1:])])
-    ordered = dealt.select("lang", "salt", *names, "c")
+    suffixes = own.mapInArrow(_suffix_rows(most, parts, salts), "part int, lang string, suffix string, split boolean, c long")
+    ordered = suffixes.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("suffix").desc()).select("lang", "suffix", "split", "c")
     counts = stored(ordered.mapInArrow(_prefixes(most, least), "lang string, k int, phrase string, f long, whole boolean"), "phrases")
     parted = counts.where("NOT whole").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("k") == 0) | (F.col("f") >= least))
     return counts.where("whole").drop("whole").unionByName(parted)
