@@ -110,14 +110,15 @@ def chat_format(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """Formatted conversations in parts: conv_id, first_turn, shard, part, formatted, n_chars, turn_chars, mask.
 
     The parts of a conversation, by shard and part, are its formatted text one after another: a conversation of any
-    length passes through in batches and over several shards. turn_chars are the code points of each turn; mask lists, in
+    length passes through in batches and over several shards (turns of the same number in one). turn_chars are the code points of each turn; mask lists, in
     code points from the part's start, the texts that count for the loss. Turns are in order of turn; ties by role, then
     text; turns without a number come first, rows that repeat stay. Null roles and texts are empty; long texts stay whole. Rows without a conversation are one
     conversation of their own. An empty table gives no parts; other columns are ignored, whatever their names.
     """
     rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     order = ["conv_id", "turn", "role", "text"]
-    ranged = rows.repartitionByRange(shuffle_partitions(turns.sparkSession), *order).sortWithinPartitions(*order)
+    # bounds of ranges come from a sample that the driver collects, so no texts are among the keys
+    ranged = rows.repartitionByRange(shuffle_partitions(turns.sparkSession), *order[:2]).sortWithinPartitions(*order)
     return ranged.mapInArrow(_format, PARTS_DDL).withColumn("shard", F.spark_partition_id())
 
 

@@ -25,6 +25,7 @@ CLOSES = {
 _SPACE = re.compile(r"\s+")
 #: Beyond every code point, and too long for int().
 _LONG_REF = re.compile(r"&#[0-9]{4000,};?")
+_COMMENT_END = re.compile(r"--!?>")
 
 
 class Dom(HTMLParser):
@@ -95,10 +96,36 @@ class Dom(HTMLParser):
         if tag not in VOID and self.foreign:
             self.handle_endtag(tag)
 
-    def parse_marked_section(self, i: int, report: int = 1) -> int:
-        """To the next '>', as browsers do, whatever is declared; the parser itself stops at names that it doesn't know."""
+    # The whole page is fed at once, so what has no end goes on to the end of the page, as in browsers, and is never text.
+
+    def _through(self, i: int) -> int:
+        """Behind the next '>'."""
         end = self.rawdata.find(">", i)
-        return end + 1 if end >= 0 else -1
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """`<!-->` and `<!--->` are whole comments; others end at `-->` or `--!>`."""
+        for short in (">", "->"):
+            if self.rawdata.startswith(short, i + 4):
+                return i + 4 + len(short)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """To the next '>', whatever is declared; the parser itself stops at names that it doesn't know."""
+        return self._through(i)
+
+    def parse_bogus_comment(self, i: int, report: int = 1) -> int:
+        return self._through(i)
+
+    def parse_pi(self, i: int) -> int:
+        return self._through(i)
+
+    def parse_starttag(self, i: int) -> int:
+        return super().parse_starttag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
 
     def handle_endtag(self, tag: str) -> None:
         place = self._last({tag})

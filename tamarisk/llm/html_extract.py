@@ -28,23 +28,27 @@ from tamarisk.llm.tables import held, let_go, passed_through
 TRAIN_PAGES = 1_000
 #: Elements by what their parent's label means for theirs.
 SECTIONS = {"nav", "header", "footer", "aside", "form", "article", "main", "section", "body", "html"}
+#: What stands right in these says little of their children: they hold whatever the page has.
+OUTER = {"#page", "html", "body"}
+KINDS = 4
 _NAME = re.compile(r"[a-z]+")
 
 
-def _kind(tag: str) -> int:
-    return 0 if tag in INLINE else 1 if tag in SECTIONS else 2
+def _kind(tag: str, parent: str) -> int:
+    return 0 if tag in INLINE else 3 if parent in OUTER else 1 if tag in SECTIONS else 2
 
 
 def element_features(dom: Dom) -> list[list[str]]:
     """Names of each element's features."""
     n = len(dom.tag)
-    text, links, stops = np.zeros(n), np.zeros(n), np.zeros(n)
+    text, links, stops, direct = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     inside = [False] * n
     for i in range(1, n):
         inside[i] = inside[dom.parent[i]] or dom.tag[i] == "a"
     for _, i, t in dom.chunks:
         k = len(t.strip())
         text[i] += k
+        direct[i] += k
         links[i] += k if inside[i] else 0
         stops[i] += sum(t.count(c) for c in ".,!?")
     for i in range(n - 1, 0, -1):
@@ -52,7 +56,8 @@ def element_features(dom: Dom) -> list[list[str]]:
         text[p], links[p], stops[p] = text[p] + text[i], links[p] + links[i], stops[p] + stops[i]
     out = []
     for i in range(n):
-        own = ["bias", f"tag={dom.tag[i]}", f"length={int(np.log2(text[i] + 1)) // 2}", f"links={int(4 * links[i] / max(text[i], 1))}", f"stops={int(min(stops[i], 15)) // 3}"]
+        outer = dom.tag[dom.parent[i]] if i else ""
+        own = ["bias", f"tag={dom.tag[i]}", f"{dom.tag[i]} in {outer if outer in OUTER else 'others'}", f"direct={dom.tag[i] in OUTER} {int(np.log2(direct[i] + 1)) // 2}", f"length={int(np.log2(text[i] + 1)) // 2}", f"links={int(4 * links[i] / max(text[i], 1))}", f"stops={int(min(stops[i], 15)) // 3}"]
         names = dict.fromkeys(_NAME.findall(dom.names[i].lower()))
         out.append(own + [f"name={w}" for w in names] + (["named"] if names else [f"plain {dom.tag[i]}"]))
     return out
@@ -77,7 +82,7 @@ class Forest:
                 p = dom.parent[i]
                 parent.append(base + p if p >= 0 else -1)
                 depth.append(depth[base + p] + 1 if p >= 0 else 0)
-                kind.append(_kind(dom.tag[i]))
+                kind.append(_kind(dom.tag[i], dom.tag[p] if p >= 0 else ""))
                 for name in names:
                     k = index.setdefault(name, len(index)) if grow else index.get(name)
                     if k is not None:
@@ -128,15 +133,15 @@ def fit(pages: list[str], steps: int = 120, ridge: float = 0.02) -> Weights:
             label.append(int(mark) if mark else label[base + dom.parent[i]] if i else 0)
     y = np.array(label)
     child = np.flatnonzero(forest.parent >= 0)
-    seen = np.zeros((3, 2, 2))
+    seen = np.zeros((KINDS, 2, 2))
     np.add.at(seen, (forest.kind[child], y[forest.parent[child]], y[child]), 1)
     w = Weights(index, np.zeros(len(index)), np.log(seen + 1) - np.log((seen + 1).sum(2, keepdims=True)))
     there = np.bincount(forest.feature, y[forest.row], len(index))
-    moments = [np.zeros(len(index)), np.zeros(len(index)), np.zeros((3, 2, 2)), np.zeros((3, 2, 2))]
+    moments = [np.zeros(len(index)), np.zeros(len(index)), np.zeros((KINDS, 2, 2)), np.zeros((KINDS, 2, 2))]
     for step in range(1, steps + 1):
         own, both = marginals(forest, w)
         grad_u = (np.bincount(forest.feature, own[forest.row, 1], len(index)) - there) / len(pages) + ridge * w.unary / len(pages)
-        expected = np.zeros((3, 2, 2))
+        expected = np.zeros((KINDS, 2, 2))
         np.add.at(expected, forest.kind[child], both[child])
         for at, (grad, value) in enumerate(((grad_u, w.unary), ((expected - seen) / len(pages), w.pair))):
             moments[2 * at] = 0.9 * moments[2 * at] + 0.1 * grad

@@ -72,6 +72,8 @@ def _article(r: random.Random) -> str:
         kind = r.random()
         if kind < 0.68:
             inner = _text(r, r.randint(1, 6))
+            if r.random() < 0.02:  # very long, and hardly a sentence
+                inner = r.choice((" ", ", ")).join([_sentence(r, 1, 1)[:-1]] * r.randint(100, 1500))
             inner = inner if r.random() < 0.7 else _tag(r.choice(("b", "i", "em", "span")), 1, _sentence(r, 2, 6), closed=r.random() < 0.8) + " " + inner
             inner = inner if r.random() < 0.8 else inner + " " + _tag("a", 1, _sentence(r, 1, 3), 'href="/x"') + " " + _sentence(r)
             parts.append(_tag(r.choice(("p", "p", "p", "p", "div")), 1, inner, closed=r.random() < 0.9))
@@ -88,6 +90,22 @@ def _article(r: random.Random) -> str:
     return "".join(parts) or _tag("p", 1, _text(r, 2))
 
 
+def _plain(r: random.Random) -> str:
+    """Text that is set as it is."""
+    lines = [_sentence(r, 4, 12) for _ in range(r.randint(2, 12))]
+    return _tag("pre", 1, "\n".join(lines), _named(r, CONTENT_NAMES) if r.random() < 0.2 else "")
+
+
+def _in_body(r: random.Random) -> tuple[str, str]:
+    """An article that stands right in the body, and the body's own label: paragraphs, text set as it is, or bare text."""
+    kind = r.random()
+    if kind < 0.55:
+        return _article(r), "0"
+    if kind < 0.8:
+        return (_tag("h1", 1, _sentence(r, 2, 8)) if r.random() < 0.4 else "") + _plain(r), "0"
+    return (_tag("h1", 1, _sentence(r, 2, 8)) if r.random() < 0.4 else "") + "<br>".join(_text(r, r.randint(1, 4)) for _ in range(r.randint(1, 6))), "1"
+
+
 def labelled_page(seed: int) -> str:
     """A page; elements carry their label in data-y."""
     r = random.Random(seed)
@@ -95,9 +113,14 @@ def labelled_page(seed: int) -> str:
     end = [_noise(r, k) for k in ("comments", "aside", "share", "form", "ad", "notice") if r.random() < 0.4] + ([_noise(r, "footer")] if r.random() < 0.9 else [])
     r.shuffle(top)
     tag = r.choice(("article", "article", "article", "main", "div", "section"))
-    inner = _tag(tag, 1, _article(r), _named(r, CONTENT_NAMES) if tag == "div" or r.random() < 0.4 else "")
-    if r.random() < 0.1:  # paragraphs right in the body
-        inner, tag = _article(r), "main"
-    if tag != "main" and r.random() < 0.4:
-        inner = _tag(r.choice(("main", "div")), 0, inner + (_noise(r, "aside") if r.random() < 0.4 else ""), _named(r, ("container", "wrapper", "page", "layout", "row")))
-    return f'<!DOCTYPE html><html data-y="0"><head><title>t</title></head><body data-y="0">{"".join(top)}{inner}{"".join(end)}' + ("</body></html>" if r.random() < 0.9 else "")
+    body = "0"
+    if r.random() < 0.25:
+        inner, body = _in_body(r)
+    else:
+        own = _plain(r) if r.random() < 0.05 else _article(r)
+        if r.random() < 0.12:  # with a header of its own
+            own = _tag("header", 1, _tag("h1", 1, _sentence(r, 3, 12)) + (_tag("p", 1, _sentence(r, 2, 8)) if r.random() < 0.3 else "")) + _tag("p", 1, _text(r, r.randint(1, 4))) + (own if r.random() < 0.4 else "")
+        inner = _tag(tag, 1, own, _named(r, CONTENT_NAMES) if tag == "div" or r.random() < 0.4 else "")
+        if tag != "main" and r.random() < 0.4:
+            inner = _tag(r.choice(("main", "div")), 0, inner + (_noise(r, "aside") if r.random() < 0.4 else ""), _named(r, ("container", "wrapper", "page", "layout", "row")))
+    return f'<!DOCTYPE html><html data-y="0"><head><title>t</title></head><body data-y="{body}">{"".join(top)}{inner}{"".join(end)}' + ("</body></html>" if r.random() < 0.9 else "")

@@ -10,8 +10,10 @@ class in the labels cannot move the score, and neutral mentions of groups stay n
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +52,10 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‚‘’–—…
 
 PREFIXES = (4, 5, 6)
 SPACE = 1 << 20
-#: Texts that are counted at a time.
-CHUNK = 250
+#: Texts that are counted at a time, and pairs of sentences.
+CHUNK, PAIRS = 250, 4_000
+#: So many words at either side of a term are the sentence that it is swapped in; a sentence may be as long as a text.
+WINDOW = 12
 #: At most so many labelled texts are fitted on, those of the least hash of their id.
 TRAIN_ROWS = 8_000
 #: And at most so many bytes of text; a text that no longer fits is passed over.
@@ -104,7 +108,7 @@ class Model:
     known: np.ndarray
     weight: np.ndarray
     bias: float
-    #: Whether there were labels of both classes; without, nothing is known against any text.
+    #: Whether there were labels of both classes; without, nothing is known against any text, and all score below 0.5.
     learnt: bool = True
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -113,19 +117,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -30, 30)))
 
 
-def _swaps(texts: list[str]) -> tuple[list[str], list[str]]:
-    """Sentences with a term, and the same with another term of its kind."""
+def _swaps(texts: list[str]) -> Iterator[tuple[str, str]]:
+    """Sentences with a term, as far as WINDOW reaches, and the same with another term of its kind."""
     kinds = {term: kind for kind in IDENTITY for term in kind}
-    before, after = [], []
-    sentences = [s for t in texts for s in t.lower().replace("!", ".").replace("?", ".").split(".")]
-    for sentence in [*sentences, *(c.format(k[0]) for c in CARRIERS for k in IDENTITY)]:
+    of_text = (s for t in texts for s in t.lower().replace("!", ".").replace("?", ".").split("."))
+    for sentence in chain(of_text, (c.format(k[0]) for c in CARRIERS for k in IDENTITY)):
         words = sentence.split()
         for i, w in enumerate(words):
-            for other in kinds.get(w.strip(PUNCTUATION), ()):
-                if other != w.strip(PUNCTUATION):
-                    before.append(" ".join(words))
-                    after.append(" ".join([*words[:i], other, *words[i + 1 :]]))
-    return before, after
+            own = w.strip(PUNCTUATION)
+            for other in kinds.get(own, ()):
+                if other != own:
+                    left, right = words[max(0, i - WINDOW) : i], words[i + 1 : i + 1 + WINDOW]
+                    yield " ".join([*left, w, *right]), " ".join([*left, other, *right])
+
+
+def _swap_differences(texts: list[str], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the swaps change: how many swaps make each difference; and row, feature and sign of what it takes away (1) and
+    adds (-1). Swaps that change the same are one row, so there are no more rows than ways to change a few features."""
+    found: Counter[tuple] = Counter()
+    pairs, width = _swaps(texts), max(len(known), 1)
+    while some := list(islice(pairs, PAIRS)):
+        here = [r * width + c for side in zip(*some, strict=True) for r, c in (presence(pa.array(side, pa.large_string()), known),)]
+        gone, new = np.setdiff1d(*here, assume_unique=True), np.setdiff1d(*here[::-1], assume_unique=True)
+        codes, sign = np.concatenate([gone, new]), np.repeat([1, -1], [len(gone), len(new)])
+        order = np.argsort(codes, kind="stable")
+        codes, sign = codes[order], sign[order]
+        signed = sign * (codes % width + 1)
+        bounds = np.searchsorted(codes // width, np.arange(len(some) + 1))
+        found.update(tuple(signed[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False))
+    signed = np.array([x for key in found for x in key], np.int64)
+    row = np.repeat(np.arange(len(found)), [len(key) for key in found])
+    return np.array(list(found.values()), np.float64), row, np.abs(signed) - 1, np.sign(signed).astype(np.float64)
 
 
 def _chunks(texts: list[str], known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -135,11 +157,12 @@ def _chunks(texts: list[str], known: np.ndarray | None = None) -> Iterator[tuple
 
 
 def fit(texts: list[str], labels: np.ndarray, significance: float = 3.0, ridge: float = 0.1, swap_weight: float = 1.0, steps: int = 400) -> Model:
-    """labels are 0 or 1. Without both classes the score is the smoothed share of label 1 for every text."""
+    """labels are 0 or 1. Without both classes the score is half of the smoothed share of label 1 for every text."""
     labels = labels.astype(np.float64)
     prior = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
     if not 0 < labels.sum() < len(labels):
-        return Model(np.zeros(0, np.int64), np.zeros(0), prior, False)
+        half = (labels.sum() + 1) / (len(labels) + 2) / 2
+        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(half / (1 - half))), False)
     positive, negative = np.zeros(SPACE, np.int64), np.zeros(SPACE, np.int64)
     for at, rows, features in _chunks(texts):
         toxic = labels[at + rows] > 0
@@ -152,11 +175,7 @@ def fit(texts: list[str], labels: np.ndarray, significance: float = 3.0, ridge:
     # identity terms and their beginnings are always weighed, so that the penalty can hold them down
     terms = _features(pa.array([t for kind in IDENTITY for t in kind], pa.large_string()))
     known = np.union1d(known, terms[terms >= 0])
-    before, after = _swaps(texts)
-    signs = [(presence(pa.array(x, pa.large_string()), known), s) for x, s in ((before, 1.0), (after, -1.0))]
-    swap_row = np.concatenate([r for (r, _), _ in signs])
-    swap_col = np.concatenate([c for (_, c), _ in signs])
-    swap_sign = np.concatenate([np.full(len(r), s) for (r, _), s in signs])
+    swaps, swap_row, swap_col, swap_sign = _swap_differences(texts, known)
     found = [(at + rows, places) for at, rows, places in _chunks(texts, known)]
     row, col = (np.concatenate(x) for x in zip(*found, strict=True))
     carriers = pa.array([c.format(t) for c in CARRIERS for kind in IDENTITY for t in kind], pa.large_string())
@@ -169,9 +188,9 @@ def fit(texts: list[str], labels: np.ndarray, significance: float = 3.0, ridge:
     for step in range(1, steps + 1):  # Adam
         z = np.bincount(row, w[col], len(y)) + b
         pull = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gap = np.bincount(swap_row, swap_sign * w[swap_col], len(before))
+        gap = swaps * np.bincount(swap_row, swap_sign * w[swap_col], len(swaps))
         grad = np.bincount(col, pull[row], len(w)) + 2 * ridge / len(labels) * w
-        grad += np.bincount(swap_col, swap_sign * (2 * swap_weight / max(len(before), 1) * gap)[swap_row], len(w))
+        grad += np.bincount(swap_col, swap_sign * (2 * swap_weight / swaps.sum() * gap)[swap_row], len(w))
         grad_b = pull.sum()
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         first_b, second_b = 0.9 * first_b + 0.1 * grad_b, 0.999 * second_b + 0.001 * grad_b**2
@@ -224,7 +243,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if not picked:
         return [], np.zeros(0, np.int64)
     chosen = docs.sparkSession.createDataFrame([(r.id, r.code) for r in picked], "id long, code long")
-    hit = texts.withColumn("code", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "code"]).groupBy("id").agg(F.min("text").alias("text"))
+    hit = texts.join(F.broadcast(chosen), "id").where(F.xxhash64("text") == F.col("code")).groupBy("id").agg(F.min("text").alias("text"))
     by_id = {r.id: r.text for r in hit.collect()}
     return [by_id[r.id] for r in picked], np.array([r.y for r in picked], np.int64)
 
@@ -234,8 +253,7 @@ def _scored(model):
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             score = model.value.score(batch.column(batch.num_columns - 1))
-            toxic = (score >= 0.5) & model.value.learnt
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(toxic)], [*batch.schema.names[:-1], "score", "toxic"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array(score >= 0.5)], [*batch.schema.names[:-1], "score", "toxic"])
 
     return run
 
@@ -245,7 +263,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     The score depends on the text alone. Null and empty texts get the score of a text without known words. Repeated
     labels of an id count as toxic if any is, and repeated rows are scored alike; long texts are read whole. Without labels
-    of both classes all texts get the share of toxic ones, and none is called toxic. An empty table gives no rows. A column
+    of both classes all texts get half the share of toxic ones, so none is called toxic. An empty table gives no rows. A column
     score or toxic of the input gives way to the result of that name; others that are not asked for are ignored.
     """
     texts, y = training_rows(docs, labels, id_col, text_col)

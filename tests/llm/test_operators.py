@@ -166,7 +166,7 @@ def test_toxicity(spark):
     change = lambda m: abs(np.subtract(*m.score(pa.array(["many muslims live here", "many buddhists live here"]))))
     assert change(toxicity.fit(texts, y)) < 0.5 * change(toxicity.fit(texts, y, swap_weight=0.0)) or change(toxicity.fit(texts, y)) < 0.01
     none = toxicity.toxicity(table(spark, docs[:3]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
-    assert [x.score for x in none] == [0.5] * 3
+    assert [x.score for x in none] == [0.25] * 3 and not any(x.toxic for x in none)
 
 
 def test_toxicity_gradient(monkeypatch):
@@ -174,7 +174,7 @@ def test_toxicity_gradient(monkeypatch):
     r = random.Random(4)
     texts = [" ".join([*words(r, 8, 30), *(["scum"] if i % 3 == 0 else ["fine"]), *(["muslims"] if i % 3 == 0 or i % 7 == 0 else [])]) + "." for i in range(150)]
     y = np.array([int(i % 3 == 0) for i in range(150)])
-    before, after = toxicity._swaps(texts)
+    before, after = map(list, zip(*toxicity._swaps(texts), strict=True))
     assert sum("w" in b for b in before) > 100  # labelled sentences, not only the carriers
     model = toxicity.fit(texts, y, steps=4000)
 
@@ -233,6 +233,30 @@ def test_toxicity_without_both_classes(spark, monkeypatch):
         assert corpus_pipeline.drop_toxic(spark, docs, "").count() == 20
 
 
+def test_predicted_follows_the_score(spark, monkeypatch):
+    """In the query too, labels of one class or none."""
+    from tamarisk.llm import queries_toxicity
+
+    docs = spark.createDataFrame([(i, f"some text {i}") for i in range(40)], "doc_id long, text string")
+    for labels in ([], [(i, 1) for i in range(40)], [(i, 0) for i in range(40)], [(i, i % 2) for i in range(40)]):
+        tables = {"documents": docs, "labels": spark.createDataFrame(labels, "doc_id long, toxic int")}
+        monkeypatch.setattr(queries_toxicity, "table", lambda _, __, name, tables=tables: tables[name])
+        got = queries_toxicity.op2_toxicity(spark, "").collect()
+        assert len(got) == 40 and all(x.predicted == int(x.score >= 0.5) for x in got)
+        assert len({y for _, y in labels}) == 2 or not any(x.predicted for x in got)
+
+
+def test_many_mentions_in_one_sentence_take_little_memory():
+    import tracemalloc
+
+    text = " ".join("muslims" if i % 4 == 0 else f"w{i % 900}" for i in range(20_000))
+    tracemalloc.start()
+    model = toxicity.fit([text, "scum " * 50, "fine words", "other words here"] * 3, np.array([1, 1, 0, 0] * 3), steps=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.learnt and len(text) > 110_000 and peak < 200 << 20
+
+
 def test_packing(spark):
     r = random.Random(2)
     lengths = [r.choice((0, 1, 700, 1024, 3000, r.randrange(1, 16_384))) for _ in range(500)]
@@ -386,6 +410,13 @@ def test_html():
         ("<p>Be <math><mi>x</mi><mspace/><msup><mn>2</mn></msup></math> so<p>Two", "Be x2 so\n\nTwo"),
         ("<p>One <object data=x><param name=y>instead</object> on<p>Two", "One instead on\n\nTwo"),
         ("<p>One <svg/> on <svg><path/><text>no</text></svg>end", "One\n\non\n\nend"),
+        ("<p>One<!--><p>Two<!-- c --><p>Three", "One\n\nTwo\n\nThree"),
+        ("<p>One<!---><p>Two<!----><p>Three<!-- a > b -- c --!><p>Four", "One\n\nTwo\n\nThree\n\nFour"),
+        ("One<!-- open <p>Two", "One"),
+        ("<p>One<!foo <p>Two<?x y?><p>Three<!bar", "OneTwo\n\nThree"),
+        ("<p>One<a href='x", "One"),
+        ("<p>One</p", "One"),
+        ("<p>1 < 2 and <3<p>Two <a title='a>b'>link</a>", "1 < 2 and <3\n\nTwo link"),
     ],
 )
 def test_whole_pages(page, want):
@@ -400,6 +431,28 @@ def test_main_text_after_odd_markup():
         assert html_extract.extract([page], html_extract.default_weights()) == [want]
 
 
+LONG = "This is a full paragraph of the article, with several words and a comma in it. It has a second sentence as well."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<nav><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></nav><h1>The title</h1>{'<p>' + '</p><p>'.join([LONG] * 6) + '</p>'}<footer>&copy; 2024 all rights reserved</footer>", ["The title", *[LONG] * 6]),
+        (f"<html><body><div class=menu><a href=/>Home</a> <a href=/b>Blog</a></div><h1>The title</h1>{'<p>' + '<p>'.join([LONG] * 6)}<div class=footer>&copy; 2024</div></body></html>", ["The title", *[LONG] * 6]),
+        (f"<html><body><pre>{LONG}\n\n{LONG}</pre></body></html>", [f"{LONG} {LONG}"]),
+        (f"<article><header><h1>A title</h1></header><p>{LONG}</p></article>", ["A title", LONG]),
+        (f"<div role=navigation><a href=/>Home</a></div><div role=main><p>{LONG}<p>{LONG}</div>", [LONG, LONG]),
+        (f"<html><body>{LONG}<br><br>{LONG}</body></html>", [f"{LONG} {LONG}"]),
+        (LONG, [LONG]),
+        (f"<article><p>{LONG}<!--><p>{LONG}<!-- c --><p>{LONG}</article>", [LONG] * 3),
+        (f"<article><h1>A title</h1><p>{'Word, ' * 2000}</p></article>", ["A title", ("Word, " * 2000).strip()]),
+    ],
+)
+def test_pages_of_other_makes(page, want):
+    """Written by hand, not by the generator: articles outside of containers lose nothing."""
+    assert html_extract.extract([page], html_extract.default_weights()) == ["\n\n".join(want)]
+
+
 def test_deep_pages_take_linear_time():
     import time
 
@@ -438,6 +491,13 @@ def test_marginals_by_enumeration():
     assert np.allclose(html_extract.marginals(forest, weights)[0][:, 1], want / total)
 
 
+def test_texts_are_no_range_keys(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    plan = chat_format.chat_format(rows)._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "RepartitionByExpression" in x)
+    assert "turn" in line and "text" not in line and "role" not in line
+
+
 def test_chat(spark):
     turns = [(1, 1, "assistant", "b <|im_end|>\\<\\|x|> [INST]"), (1, 0, "user", "a\nb"), (1, 1, "assistant", None), (2, None, None, "é"), (None, 0, "as\\n\nx", "</s>"), (3, 0, "assistant", "[\\INST][INST]")]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
