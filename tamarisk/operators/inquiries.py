@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from tamarisk.functions.scalars import edit_similarity, is_filled, new_inquiry_id, now_utc
+from tamarisk.operators.keyed_table import stamped as stamped_change
 
 STATUSES, TOPICS = ("processing", "draft", "sent", "error"), ("product", "development", "other", "spam")
 DRAFT = "struct<subject:string,body:string,quality_scores:struct<politeness:string,politeness_reason:string>>"
@@ -126,3 +127,26 @@ def apply_updates(current: DataFrame, updates: DataFrame, key: str = "id", sets:
     joined = current.join(u, key, "full")
     new = lambda c: F.when(F.col("_there"), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in sets else F.coalesce(f"_new_{c}", c)
     return joined.select(*[new(c).alias(c) if c in changed else F.col(c) for c in current.columns])
+
+
+#: How the columns of an inquiry's state merge in a keyed table, and their types.
+STATE_MERGES = {c: "last" for c in ("status", "topic", "original_topic", "classification_confidence", "draft", "final", "edit_similarity", "quality_alert", "call_id", "operator_edited_topic")} | {"created_at": "min", "updated_at": "max", "sent_at": "max"}
+STATE = (
+    "id long, status string, topic string, original_topic string, classification_confidence double, draft string, final string, edit_similarity double, created_at timestamp_ntz, updated_at timestamp_ntz, sent_at timestamp_ntz, "
+    "quality_alert boolean, call_id string, operator_edited_topic boolean"
+)
+
+
+def state_changes(events: DataFrame) -> DataFrame:
+    """What each event changes, for a keyed table: merged, these changes are the fold of the events."""
+    status = F.create_map(*[F.lit(x) for p in {"created": "processing", "generated": "draft", "failed": "error", "retried": "processing", "saved": "draft", "sent": "sent"}.items() for x in p])
+    kind = F.col("kind")
+    change = lambda value, use: stamped_change(value, F.when(use, F.col("seq")))
+    by_kind = {
+        "topic": ("generated", "retopic"), "original_topic": ("generated",), "classification_confidence": ("generated",), "draft": ("generated",), "final": ("saved", "sent"), "edit_similarity": ("sent",), "quality_alert": ("generated",),
+        "call_id": ("generated",), "operator_edited_topic": ("sent",),
+    }
+    source = {"original_topic": "topic", "classification_confidence": "confidence"}
+    columns = [change(F.col(source.get(c, c)), kind.isin(*kinds)).alias(c) for c, kinds in by_kind.items()]
+    times = [F.when(kind == "created", F.col("at")).alias("created_at"), F.col("at").alias("updated_at"), F.when(kind == "sent", F.col("at")).alias("sent_at")]
+    return events.select("id", change(status[kind], kind != "retopic").alias("status"), *columns, *times)

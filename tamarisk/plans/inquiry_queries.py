@@ -31,11 +31,11 @@ def inquiry_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inquiries.lookup(load(spark, sf_dir, "orders"), "o_orderkey", 7)
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One inquiry for each user; every fourth event of a kind follows from its number, so that all kinds occur."""
+def inquiry_events(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """One inquiry for each user; the kind of an event follows from its number, so that all kinds occur. rows may be a stream."""
     kinds = F.array(*[F.lit(k) for k in ("created", "generated", "saved", "retopic", "failed", "retried", "generated", "sent")])
     topics = F.array(*[F.lit(t) for t in inquiries.TOPICS])
-    return load(spark, sf_dir, "events").select(
+    return (load(spark, sf_dir, "events") if rows is None else rows).select(
         F.col("user_id").alias("id"), F.col("event_id").alias("seq"), kinds[(F.col("event_id") % 8).cast("int")].alias("kind"), topics[(F.col("user_id") % 4).cast("int")].alias("topic"),
         F.round("value", 4).alias("confidence"), F.col("event_type").alias("draft"), F.col("event_type").alias("final"), (F.col("event_id") % 100 / 100.0).alias("edit_similarity"), F.col("ts").alias("at"),
         (F.col("event_id") % 3 == 0).alias("quality_alert"), F.col("event_id").cast("string").alias("call_id"), (F.col("event_id") % 5 == 0).alias("operator_edited_topic"),
@@ -43,7 +43,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inquiries.fold(_events(spark, sf_dir)).select("id", "status", "topic", "original_topic", "classification_confidence", "draft", "final", "edit_similarity", "created_at", "updated_at", "sent_at", "quality_alert", "call_id", "operator_edited_topic")
+    return inquiries.fold(inquiry_events(spark, sf_dir)).select("id", "status", "topic", "original_topic", "classification_confidence", "draft", "final", "edit_similarity", "created_at", "updated_at", "sent_at", "quality_alert", "call_id", "operator_edited_topic")
 
 
 def quality_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of kept topics and mean similarity of sent texts, by topic of the call that they are feedback on."""
-    events = _events(spark, sf_dir)
+    events = inquiry_events(spark, sf_dir)
     calls = events.where("kind = 'generated'").select(F.col("seq").alias("call"), "topic")
     feedback = events.where("kind = 'sent'").select((F.col("seq") - 1).alias("call"), (F.col("seq") % 3 > 0).cast("int").alias("kept"), "edit_similarity")
     return feedback.join(calls, "call").groupBy("topic").agg(F.count("*").alias("n"), F.round(F.avg("kept"), 6).alias("kept_rate"), F.round(F.avg("edit_similarity"), 6).alias("mean_similarity"))

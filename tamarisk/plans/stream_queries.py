@@ -13,7 +13,7 @@ from tamarisk.streaming.threads import enrich_stream, thread_states, windowed_co
 
 
 @contextmanager
-def _rocksdb(spark: SparkSession):
+def rocksdb(spark: SparkSession):
     """The state store that keyed state needs."""
     key, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(key, None)
@@ -24,35 +24,35 @@ def _rocksdb(spark: SparkSession):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream, be it a folder of part files or one file, which a stream can only find by its name."""
     own = f"{sf_dir}/{name}.parquet"
-    stream = spark.readStream.schema(load(spark, sf_dir, name).schema)
+    rows = spark.readStream.schema(load(spark, sf_dir, name).schema)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
-        return stream.parquet(own)
-    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+        return rows.parquet(own)
+    return rows.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def _kept(stream: DataFrame, mode: str, folder: str) -> None:
+def kept(rows: DataFrame, mode: str, folder: str) -> None:
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def thread_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "threads")
-    events = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("thread_id"), F.col("event_id").alias("seq"), "event_type")
-    with _rocksdb(spark):
-        _kept(thread_states(events), "update", folder)
+    events = stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("thread_id"), F.col("event_id").alias("seq"), "event_type")
+    with rocksdb(spark):
+        kept(thread_states(events), "update", folder)
     return latest_row(spark.read.parquet(f"{folder}/out"), ["thread_id"], "batch", []).select("thread_id", "n_events", "state")
 
 
 def inquiry_enrich_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as inquiries: topics and drafts by micro-batches."""
     folder = work_dir(spark, "inquiries")
-    rows = _stream(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lit("A").alias("customer_name"), F.lit("").alias("company_name"), F.concat_ws(" ", "p_name", "p_type").alias("content"))
+    rows = stream(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lit("A").alias("customer_name"), F.lit("").alias("company_name"), F.concat_ws(" ", "p_name", "p_type").alias("content"))
     enrich_stream(rows, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("id", "topic", F.col("draft.subject").alias("subject"), "quality_alert")
 
@@ -60,7 +60,7 @@ def inquiry_enrich_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per hour and type, as an updated stream leaves them."""
     folder = work_dir(spark, "windows")
-    _kept(windowed_counts(_stream(spark, sf_dir, "events"), width="1 hour"), "update", folder)
+    kept(windowed_counts(stream(spark, sf_dir, "events"), width="1 hour"), "update", folder)
     last = latest_row(spark.read.parquet(f"{folder}/out"), ["window", "event_type"], "batch", [])
     return last.select(F.col("window.start").cast("timestamp_ntz").alias("started"), "event_type", "n")
 
