@@ -37,8 +37,8 @@ HOT_LEAST = 20_000
 SLICE = 4 << 20
 #: Tables of so many rows are broadcast (counts of a phrase take about 50 bytes); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Rows of a language are ranked in groups of so many, then in groups of the next number, and at last together.
-RANK_GROUPS = (1024, 32)
+#: Rows of a language are ranked in so many groups, then in the next number of groups, and at last together.
+RANK_GROUPS = (1024, 64, 4)
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(BLANKS)] = 1
@@ -106,9 +106,9 @@ def _mixed(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _suffix_rows(most: int, parts: int, salts):
-    """part, lang, suffix, split, c of each distinct suffix in a slice. A space follows each word of a suffix, so that those
-    with equal first words stand side by side when sorted. part is the task that counts it; split tells that others count more
-    suffixes of the same first word."""
+    """part, suffix, c2 of each distinct suffix in a slice. A space follows each word of a suffix, so that those with equal
+    first words stand side by side when sorted; at its end, behind a tab, which no word holds, is its language in hexadecimal digits. part is the task
+    that counts it. c2 is twice the count, and 1 more where other tasks count further suffixes of the same first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, SLICE):
@@ -152,8 +152,9 @@ def _suffix_rows(most: int, parts: int, salts):
             of_lang = _hashed([x.encode() for x in languages.to_pylist()])
             salt = np.where(times > 1, _mixed([of_word[c] for c in columns[1:]] or [of_word[columns[0]]]) % times, 0)
             part = _mixed([of_lang[own], of_word[columns[0]], salt.astype(np.uint64)]) % parts
-            suffix = pc.binary_join_element_wise(*[strings.take(pa.array(c - 1, mask=c == 0)) for c in columns], "", " ", null_handling="skip")
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), languages.take(pa.array(own)), suffix, pa.array(times > 1), pa.array(counts)], ["part", "lang", "suffix", "split", "c"])
+            tails = pa.array(["\t" + x.encode().hex() for x in languages.to_pylist()], pa.string()).take(pa.array(own))
+            suffix = pc.binary_join_element_wise(*[strings.take(pa.array(c - 1, mask=c == 0)) for c in columns], tails, " ", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), suffix, pa.array(2 * counts + (times > 1))], ["part", "suffix", "c2"])
 
     return run
 
@@ -174,20 +175,16 @@ class _Stack:
         for k in range(self.most + 1 if self.words is not None else 0):
             yield from self._done(k, " ".join(self.words[:k]) if k <= len(self.words) else None, self.count[k], self.split)
 
-    def add(self, suffixes: pa.Array, split: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
-        """Of sorted suffixes: k, phrase, f and whole of the prefixes that are complete, leaving out the rare ones."""
-        lists = pc.split_pattern(suffixes.take(pa.array(np.arange(len(suffixes)))), " ")
-        offsets = lists.offsets.to_numpy()
-        words = lists.flatten()
-        code = words.dictionary_encode().indices.to_numpy()
-        size = np.diff(offsets) - 1  # an empty string follows the last space
+    def add(self, begin: np.ndarray, size: np.ndarray, words: pa.Array, code: np.ndarray, split: np.ndarray, c: np.ndarray) -> Iterator[tuple]:
+        """Of sorted suffixes, given by their places and numbers of words: k, phrase, f and whole of the prefixes that are
+        complete, leaving out the rare ones."""
         new = np.zeros(len(c), bool)
         last = self.words
         for k in range(self.most + 1):
             if k:
-                at = np.where(size >= k, code[np.minimum(offsets[:-1] + k - 1, len(code) - 1)], -1)
+                at = np.where(size >= k, code[np.minimum(begin + k - 1, len(code) - 1)], -1)
                 new[1:] |= at[1:] != at[:-1]
-                first = words[int(offsets[0]) + k - 1].as_py() if size[0] >= k else None
+                first = words[int(begin[0]) + k - 1].as_py() if size[0] >= k else None
                 new[0] |= first != (last[k - 1] if last is not None and k <= len(last) else None)
             if last is None:
                 new[0] = True
@@ -197,11 +194,12 @@ class _Stack:
                 sums[0] += self.count[k]
             elif last is not None:
                 yield from self._done(k, " ".join(last[:k]) if k <= len(last) else None, self.count[k], self.split)
-            for i in np.flatnonzero((split[start[:-1]] | (sums[:-1] >= self.least)) & (size[start[:-1]] >= k)).tolist():
-                row = int(start[i])
-                yield from self._done(k, " ".join(words[int(offsets[row]) + j].as_py() for j in range(k)), int(sums[i]), bool(split[row]))
+            kept = np.flatnonzero((split[start[:-1]] | (sums[:-1] >= self.least)) & (size[start[:-1]] >= k))
+            own = words.take(pa.array((begin[start[kept]][:, None] + np.arange(k)).ravel())).to_pylist()
+            for i, (f, shared) in enumerate(zip(sums[kept].tolist(), split[start[kept]].tolist(), strict=True)):
+                yield from self._done(k, " ".join(own[k * i : k * i + k]), f, shared)
             self.count[k] = int(sums[-1])
-        self.words, self.split = words[int(offsets[-2]) : int(offsets[-1]) - 1].to_pylist(), bool(split[-1])
+        self.words, self.split = words[int(begin[-1]) : int(begin[-1] + size[-1])].to_pylist(), bool(split[-1])
 
 
 def _prefixes(most: int, least: int):
@@ -221,11 +219,17 @@ def _prefixes(most: int, least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column(0).dictionary_encode()
-            code, split, c = coded.indices.to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
-            for i, lang in enumerate(coded.dictionary.to_pylist()):
-                own = np.flatnonzero(code == i)
-                yield from rows(lang, stacks.setdefault(lang, _Stack(most, least)).add(batch.column(1).take(pa.array(own)), split[own], c[own]))
+            suffixes = batch.column(0)
+            lists = pc.split_pattern(suffixes if not suffixes.offset else suffixes.take(pa.array(np.arange(len(suffixes)))), " ")
+            offsets, words = lists.offsets.to_numpy(), lists.flatten()
+            coded = words.dictionary_encode()
+            code, c2 = coded.indices.to_numpy(), batch.column(1).to_numpy()
+            tail = code[offsets[1:] - 1]
+            for i in np.unique(tail).tolist():
+                own = np.flatnonzero(tail == i)
+                lang = bytes.fromhex(coded.dictionary[i].as_py()[1:]).decode()
+                stack = stacks.setdefault(lang, _Stack(most, least))
+                yield from rows(lang, stack.add(offsets[own], offsets[own + 1] - offsets[own] - 1, words, code, c2[own] % 2 > 0, c2[own] // 2))
         for lang, stack in stacks.items():
             yield from rows(lang, stack.close())
 
@@ -256,8 +260,8 @@ def phrase_counts(docs: DataFrame, most: int = 3, least: int = 10, lang_col: str
     parts = shuffle_partitions(spark)
     own = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     salts = spark.sparkContext.broadcast(_hot(own, parts))
-    suffixes = own.mapInArrow(_suffix_rows(most, parts, salts), "part int, lang string, suffix string, split boolean, c long")
-    ordered = suffixes.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("suffix").desc()).select("lang", "suffix", "split", "c")
+    suffixes = own.mapInArrow(_suffix_rows(most, parts, salts), "part int, suffix string, c2 long")
+    ordered = suffixes.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("suffix").desc()).select("suffix", "c2")
     counts = stored(ordered.mapInArrow(_prefixes(most, least), "lang string, k int, phrase string, f long, whole boolean"), "phrases")
     parted = counts.where("NOT whole").groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("k") == 0) | (F.col("f") >= least))
     return counts.where("whole").drop("whole").unionByName(parted)

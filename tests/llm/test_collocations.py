@@ -53,7 +53,7 @@ def corpus(seed, n=250):
     rows = []
     for _ in range(n):
         words = [r.choice(("the", "The", "of", "new york", "New York City", "über", f"w{r.randrange(12)}", f"w{r.randrange(40)}", "a\x00b", "l'été", "x-y")) + r.choice(("", "", "", "", ",", ".", "\n", "\t", "!", "\x0b")) for _ in range(r.choice((0, 1, 2, 3, 10, 80)))]
-        rows.append((r.choice(("en", "en", "de", None, "und", "")), r.choice((" ", "  ")).join(words)))
+        rows.append((r.choice(("en", "en", "de", None, "und", "", "a b")), r.choice((" ", "  ")).join(words)))
     return rows
 
 
