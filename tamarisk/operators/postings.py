@@ -6,8 +6,8 @@ term, so a query reads the buckets of its own terms alone. Statistics are not st
 of further documents can be appended at any time, and what was written before stays as it is.
 
 A search is block-max pruned. What frequency and length allow at most bounds the score of every document of a range: first the
-ranges of the highest bounds are scored, which gives each query a k-th best score; then only ranges whose bound for some query
-reaches that are read, and within them only the queries that they may still serve are scored.
+ranges of the highest bounds are scored, which gives each query a k-th best score; then a range is scored for those queries only
+whose k-th best score its bound reaches, and only blocks with a term of such a query are read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from tamarisk.operators.retrieve import BLOCK_TERMS, DIGITS, K1, SCORES, B, Best
 from tamarisk.sources.tables import work_dir
 
 #: Documents, and bytes of text, of a range.
-RANGE, RANGE_BYTES = 1024, 16 << 20
+RANGE, RANGE_BYTES = 64, 16 << 20
 BUCKETS = 64
 #: One range in so many, but at least one, is scored first.
 SEEDS = 16
@@ -37,14 +37,14 @@ def _bucket(term):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each range of documents one row without a term (ids and lengths), and one for each term."""
+def _inverted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Of each range of at most so many documents one row without a term (ids and lengths), and one for each term."""
     names = ["range", "term", "docs", "tf", "n", "most", "shortest", "ids", "lengths"]
     base, number = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            part = batch.slice(at, RANGE)
+            part = batch.slice(at, most)
             while part.num_rows > 1 and part.nbytes > RANGE_BYTES:
                 part = part.slice(0, part.num_rows // 2)
             at += part.num_rows
@@ -80,7 +80,8 @@ def append(docs: DataFrame, path: str) -> int:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"(?U)\s+", " ").alias("text"))
     staged = f"{work_dir(spark, 'postings')}/inverted"
     kind = "range long, term string, docs array<int>, tf array<int>, n long, most int, shortest int, ids array<long>, lengths array<int>"
-    own.mapInArrow(_inverted, kind).write.parquet(staged)
+    most = RANGE
+    own.mapInArrow(lambda batches: _inverted(batches, most), kind).write.parquet(staged)
     rows = spark.read.schema(kind).parquet(staged)
     described = rows.where("term IS NULL").select("range", "ids", "lengths", "n", F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("words"))
     blocks = rows.where("term IS NOT NULL").withColumn("bucket", _bucket("term")).drop("ids", "lengths")
@@ -131,8 +132,8 @@ class _Asked:
 
 
 class Postings:
-    """The index as of all whole segments. read has, after a search, of each block of queries the index blocks of its terms and
-    those whose documents were read."""
+    """The index as of all whole segments. read has, after a search, of each block of queries the index blocks with its terms and
+    those whose documents were read, and the pairs of a query and a range with its terms and those that were scored."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, found = spark, segments(spark, path)
@@ -173,37 +174,43 @@ class Postings:
             df.write.parquet(f"{staged}/{name}")
             return spark.read.schema(df.schema).parquet(f"{staged}/{name}")
 
-        def chosen(floor: np.ndarray) -> DataFrame:
-            """Ranges that may serve a query, from their blocks without the documents."""
-            return own.select("segment", "range", "t", "most", "shortest").groupBy("segment", "range").applyInArrow(_promised(shared, spark.sparkContext.broadcast(floor)), "segment int, range long, promise double, n_blocks long")
+        def chosen(floor: np.ndarray, name: str) -> DataFrame:
+            """Blocks that may serve a query, by their range's promise, which is known without the documents."""
+            described = own.select("segment", "range", "t", "most", "shortest").groupBy("segment", "range")
+            return stored(described.applyInArrow(_promised(shared, spark.sparkContext.broadcast(floor)), "segment int, range long, t int, promise double, n_queries long"), name)
 
-        def scored(ranges: DataFrame, floor: np.ndarray, name: str) -> None:
+        def scored(wanted: DataFrame, floor: np.ndarray, name: str) -> None:
             key = ["segment", "range"]
-            left = self.ranges.join(ranges.select(*key), key, "left_semi").select("segment", "range", "ids", "lengths").groupBy(*key)
-            right = own.join(ranges.select(*key), key, "left_semi").select("segment", "range", "t", "docs", "tf", "most", "shortest").groupBy(*key)
+            left = self.ranges.join(wanted.select(*key).distinct(), key, "left_semi").select("segment", "range", "ids", "lengths").groupBy(*key)
+            right = own.join(wanted.select(*key, "t"), [*key, "t"], "left_semi").select("segment", "range", "t", "docs", "tf", "most", "shortest").groupBy(*key)
             left.cogroup(right).applyInArrow(_best_of_range(shared, spark.sparkContext.broadcast(floor), k, schema), schema).write.parquet(f"{folder}{name}")
 
         nothing = np.full(len(asked.queries), -np.inf)
-        every = stored(chosen(nothing), "every")
-        seeds = stored(every.orderBy(F.desc("promise"), "segment", "range").limit(max(1, every.count() // SEEDS)), "seeds")
-        scored(seeds, nothing, "seeds")
+        every = chosen(nothing, "every")
+        ranges = every.groupBy("segment", "range").agg(F.first("promise").alias("promise"))
+        seeds = stored(ranges.orderBy(F.desc("promise"), "segment", "range").limit(max(1, ranges.count() // SEEDS)).select("segment", "range"), "seeds")
+        first = stored(every.join(seeds, ["segment", "range"], "left_semi"), "first")
+        scored(first, nothing, "first")
         floor, place = nothing.copy(), {q: i for i, q in enumerate(asked.queries)}
-        for r in best(spark.read.schema(schema).parquet(f"{folder}seeds"), k).where(F.col("rank") == k).collect():  # a row a query
+        for r in best(spark.read.schema(schema).parquet(f"{folder}first"), k).where(F.col("rank") == k).collect():  # a row a query
             floor[place[r.query_id]] = r.score
-        rest = stored(chosen(floor).join(seeds.select("segment", "range"), ["segment", "range"], "left_anti"), "rest")
+        rest = stored(chosen(floor, "served").join(seeds, ["segment", "range"], "left_anti"), "rest")
         scored(rest, floor, "rest")
-        blocks = lambda df: df.agg(F.sum("n_blocks")).first()[0] or 0
-        self.read.append({"blocks": blocks(seeds) + blocks(rest), "of_blocks": blocks(every), "ranges": seeds.count() + rest.count(), "of_ranges": every.count()})
+        sizes = [df.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n_queries"), F.lit(0)).alias("pairs")).first() for df in (first, rest, every)]
+        self.read.append({f"{of}{c}": n for c in ("blocks", "pairs") for of, n in (("", sizes[0][c] + sizes[1][c]), ("of_", sizes[2][c]))})
 
 
 def _promised(asked, floor):
-    """Of a range the sum of what it promises the queries that it may still serve; no row if it serves none."""
+    """Of a range what it promises those queries that it may still serve, and the blocks with their terms."""
 
     def run(t: pa.Table) -> pa.Table:
-        limits = asked.value.limits(*(t[c].to_numpy() for c in ("t", "most", "shortest")))
+        own, term = asked.value, t["t"].to_numpy()
+        limits = own.limits(term, t["most"].to_numpy(), t["shortest"].to_numpy())
         use = (limits > 0) & (limits + 10.0**-DIGITS >= floor.value)
-        n = int(use.any())
-        return pa.table({"segment": t["segment"][:n], "range": t["range"][:n], "promise": pa.array([float(limits[use].sum())][:n], pa.float64()), "n_blocks": pa.array([t.num_rows][:n], pa.int64())})
+        at, query = own.spread(term)
+        kept = t.take(pa.array(np.unique(at[use[query]])))
+        n = kept.num_rows
+        return pa.table({"segment": kept["segment"], "range": kept["range"], "t": kept["t"], "promise": pa.array(np.full(n, limits[use].sum())), "n_queries": pa.array([int(use.sum()), *[0] * n][:n], pa.int64())})
 
     return run
 
