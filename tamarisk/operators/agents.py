@@ -6,6 +6,7 @@ Messages are rows (thread_id, seq, role, content, calls), calls an array of {id,
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,31 +31,75 @@ def called(name: Column, args: Column, tools: dict[str, Callable[[Column], Colum
     return out
 
 
-def tool_loop(messages: DataFrame, model: Callable[[Column, Column], Column], tools: dict[str, Callable[[Column], Column]], rounds: int = 10) -> DataFrame:
-    """Messages with all that follows until no thread asks for a tool, or after so many rounds.
+Model = Callable[[Column, Column], Column]
+Tools = dict[str, Callable[[Column], Column]]
+
+
+@dataclass(frozen=True)
+class Agent:
+    """A model with tools and agents of its own; as an agent of another it is asked like a tool, and answers with its last words."""
+
+    model: Model
+    tools: Tools = field(default_factory=dict)
+    agents: dict[str, Agent] = field(default_factory=dict)
+    rounds: int = 10
+
+
+def _by_agents(calls: DataFrame, agents: dict[str, Agent]) -> DataFrame:
+    """calls (thread_id, seq, i, c) with answer: what the agent that a call names says in the end, in a thread of its own; null
+    for calls of tools. An agent that is not done within its rounds has an answer that says so."""
+    own = F.concat_ws("/", "thread_id", F.col("seq"), F.col("i"))
+    answers = None
+    for name, agent in agents.items():
+        asked = calls.where(F.col("c.name") == name).select(own.alias("thread_id"), F.lit(0).cast("long").alias("seq"), F.lit("user").alias("role"), F.col("c.args").alias("content"), F.lit(None).cast(CALLS).alias("calls"))
+        done = tool_loop(asked, agent.model, agent.tools, agent.rounds, agent.agents)
+        ended = thread_status(done).select("thread_id", F.when(F.col("status") == "done", F.coalesce("content", F.lit(""))).otherwise(F.concat(F.lit(f"{name}: not done after rounds: "), F.lit(agent.rounds).cast("string"))).alias("answer"))
+        answers = ended if answers is None else answers.unionByName(ended)
+    return calls.withColumn("own", own).join(answers.withColumnRenamed("thread_id", "own"), "own", "left").drop("own")
+
+
+def tool_loop(messages: DataFrame, model: Model, tools: Tools, rounds: int = 10, agents: dict[str, Agent] | None = None) -> DataFrame:
+    """Messages with all that follows until no thread asks for a tool, or after so many rounds; thread_status tells which threads
+    are not done then.
 
     Threads whose last message is a user's or a tool's are answered; model(content of the last message, number of tool
-    results so far) gives {content, calls}. Every call gets a tool message. A round is one plan for all threads; what it adds
-    is written to the shared folder, so a lost executor costs no earlier round.
+    results so far) gives {content, calls}. Every call gets a tool message: a tool's result, or the answer of an agent of that
+    name. A round is one plan for all threads; what it adds is written to the shared folder, so a lost executor costs no
+    earlier round. From round to round only each thread's last message and counts are carried on.
     """
     spark, folder = messages.sparkSession, work_dir(messages.sparkSession, "agents")
     have = messages
+    heads = messages.groupBy("thread_id").agg(F.max_by(F.struct("role", "content"), "seq").alias("last"), F.max("seq").alias("seq"), F.count_if(F.col("role") == "tool").alias("n"))
     for number in range(rounds):
-        last = have.groupBy("thread_id").agg(F.max_by(F.struct("role", "content"), "seq").alias("last"), F.max("seq").alias("seq"), F.count_if(F.col("role") == "tool").alias("n"))
-        asked = last.where("last.role IN ('user', 'tool')").withColumn("m", model(F.col("last.content"), F.col("n")))
+        asked = heads.where("last.role IN ('user', 'tool')").withColumn("m", model(F.col("last.content"), F.col("n")))
         answers = asked.select("thread_id", (F.col("seq") + 1).alias("seq"), F.lit("assistant").alias("role"), "m.content", F.col("m.calls").cast(CALLS).alias("calls"))
         answers.write.parquet(f"{folder}/{number}/answers")
         answers = spark.read.schema(MESSAGES).parquet(f"{folder}/{number}/answers")
         calls = answers.where(has_calls(F.col("calls"))).select("thread_id", "seq", F.posexplode("calls").alias("i", "c"))
-        results = calls.select("thread_id", (F.col("seq") + 1 + F.col("i")).alias("seq"), F.lit("tool").alias("role"), called(F.col("c.name"), F.col("c.args"), tools).alias("content"), F.lit(None).cast(CALLS).alias("calls"))
+        result = called(F.col("c.name"), F.col("c.args"), tools)
+        if agents:
+            calls, result = _by_agents(calls, agents), F.coalesce("answer", result)
+        results = calls.select("thread_id", (F.col("seq") + 1 + F.col("i")).alias("seq"), F.lit("tool").alias("role"), result.alias("content"), F.lit(None).cast(CALLS).alias("calls"))
         results.write.parquet(f"{folder}/{number}/results")
         results = spark.read.schema(MESSAGES).parquet(f"{folder}/{number}/results")
         have = have.unionByName(answers).unionByName(results)
         if results.isEmpty():
             break
+        # threads that got results go on; the others are done
+        more = results.groupBy("thread_id").agg(F.max_by(F.struct("role", "content"), "seq").alias("last"), F.max("seq").alias("seq"), F.count("*").alias("more"))
+        (more.join(heads.select("thread_id", "n"), "thread_id").select("thread_id", "last", "seq", (F.col("n") + F.col("more")).alias("n"))).write.parquet(f"{folder}/{number}/heads")
+        heads = spark.read.parquet(f"{folder}/{number}/heads")
     return have
 
 
+def thread_status(messages: DataFrame) -> DataFrame:
+    """thread_id, status, content of the last message: `done` if that is an assistant's without calls, else `open` (a call without
+    result, or a message without an answer)."""
+    last = messages.groupBy("thread_id").agg(F.max_by(F.struct("role", "content", "calls"), "seq").alias("m"))
+    done = F.coalesce(F.col("m.role") == "assistant", F.lit(False)) & ~has_calls(F.col("m.calls"))
+    return last.select("thread_id", F.when(done, "done").otherwise("open").alias("status"), "m.content")
+
+
 def final_content(messages: DataFrame) -> DataFrame:
     """What an agent gives to the one that calls it: the content of each thread's last message."""
     return messages.groupBy("thread_id").agg(F.max_by("content", "seq").alias("content"))

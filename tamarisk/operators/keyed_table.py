@@ -45,7 +45,8 @@ def write_once(spark: SparkSession, path: str, text: str) -> bool:
     return done
 
 
-def _files(spark: SparkSession, folder: str) -> list[str]:
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder; nothing if it is not there."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
@@ -68,7 +69,7 @@ class KeyedTable:
     # what is valid
 
     def numbers(self) -> list[int]:
-        return sorted(int(n.removesuffix(".json")) for n in _files(self.spark, f"{self.path}/manifest") if n.endswith(".json"))
+        return sorted(int(n.removesuffix(".json")) for n in names_in(self.spark, f"{self.path}/manifest") if n.endswith(".json"))
 
     def manifest(self, number: int | None = None) -> dict:
         """base: the folder of each bucket that has one; deltas: folders of changes since, with the buckets that they touch."""
@@ -107,7 +108,7 @@ class KeyedTable:
         rows = changes.where(F.col(self.key).isNotNull()).select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
         name = uuid.uuid4().hex
         self._placed(self._merged(rows)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/delta/{name}")
-        touched = sorted(int(n.split("=")[1]) for n in _files(self.spark, f"{self.path}/delta/{name}") if n.startswith("bucket="))
+        touched = sorted(int(n.split("=")[1]) for n in names_in(self.spark, f"{self.path}/delta/{name}") if n.startswith("bucket="))
 
         def add(m: dict) -> dict | None:
             m["deltas"][name] = touched

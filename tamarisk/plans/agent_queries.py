@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarisk.functions import models, scalars
+from tamarisk.functions.text import tokens
 from tamarisk.operators import agents, inquiries
 from tamarisk.operators.fuse import reciprocal_rank_fusion
+from tamarisk.plans.stream_queries import stream
 from tamarisk.sources.tables import load, work_dir
+from tamarisk.streaming.attempts import attempt_stream, outcomes
 from tamarisk.streaming.threads import job
 
 
@@ -68,6 +71,37 @@ def sub_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.final_content(messages).select("thread_id", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"))
 
 
+def nested_agent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn asks an agent that asks an agent of its own for the words of a text, which asks a tool."""
+    start = load(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("thread_id"), F.lit(0).cast("long").alias("seq"), F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"), F.lit(None).cast(agents.CALLS).alias("calls"))
+
+    def asks(name: str, said: str):
+        def model(content, n):
+            call = F.array(F.struct(F.lit("1").alias("id"), F.lit(name).alias("name"), content.alias("args")))
+            return F.struct(F.when(n == 0, "").otherwise(F.concat(F.lit(said), content)).alias("content"), F.when(n == 0, call).alias("calls"))
+
+        return model
+
+    counter = agents.Agent(asks("length", "words: "), {"length": lambda args: F.size(tokens(args)).cast("string")})
+    clerk = agents.Agent(asks("counter", "it has "), agents={"counter": counter})
+    done = agents.tool_loop(start, asks("clerk", "answer: "), {}, agents={"clerk": clerk})
+    return agents.thread_status(done)
+
+
+def job_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts through a model that is out of order for some, and answers others at the second try."""
+    folder = work_dir(spark, "attempts")
+    rows = stream(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("content"))
+
+    def call(row: dict, number: int) -> dict:
+        if row["id"] % 7 == 0 or row["id"] % 5 == 0 and number == 1:
+            raise TimeoutError(f"no answer to {row['id']}")
+        return {"n_chars": len(row["content"])}
+
+    attempt_stream(rows, f"{folder}/out", f"{folder}/checkpoint", call, "n_chars long").awaitTermination()
+    return outcomes(spark, f"{folder}/out").select("id", "outcome", "attempts", "error", F.col("result.n_chars").alias("n_chars"))
+
+
 def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates of two stages, and an event of the first where it is sure."""
     content = F.concat_ws(" ", "p_name", "p_type")
@@ -97,7 +131,7 @@ def unescaped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", scalars.unescaped(F.concat(F.lit("caf\\u00e9 "), "p_name")).alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (bulk_insert, json_records, confidence_range, job_status, tool_loop, tool_calls_present, sub_agent, stage_events, changed_questions, fusion_by_key, unescaped_text)}
+QUERIES = {f.__name__: f for f in (bulk_insert, json_records, confidence_range, job_status, tool_loop, tool_calls_present, sub_agent, nested_agent, job_attempts, stage_events, changed_questions, fusion_by_key, unescaped_text)}
 _TOPIC = """CASE WHEN regexp_matches(low, 'casino|lottery|seo|click here|cheap') THEN 'spam' WHEN regexp_matches(low, 'develop|build|system|project') THEN 'development'
   WHEN regexp_matches(low, 'product|price|license|plan') THEN 'product' ELSE 'other' END"""
 _PARTS = f"p AS (SELECT p_partkey, {_TOPIC} AS topic FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS low FROM part))"
@@ -111,6 +145,10 @@ SQL = {
     "tool_loop": "SELECT CAST(conv_id AS VARCHAR) AS thread_id, 2 + 2 * (conv_id % 4) AS n_messages, conv_id % 4 AS n_tool, 'done' AS content FROM (SELECT DISTINCT conv_id FROM conversations)",
     "tool_calls_present": "SELECT role, turn % 3 = 0 AS calls, count(*) AS n FROM conversations GROUP BY ALL",
     "sub_agent": "SELECT CAST(conv_id AS VARCHAR) AS thread_id, md5(coalesce(arg_max(text, turn), '')) AS content_md5 FROM conversations GROUP BY conv_id",
+    "nested_agent": r"""SELECT conv_id || '-' || turn AS thread_id, 'done' AS status,
+  'answer: it has words: ' || len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \n\t\r\f\v]+'), lambda x: x <> '')) AS content FROM conversations""",
+    "job_attempts": """SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN 'dead' ELSE 'done' END AS outcome, CAST(CASE WHEN p_partkey % 7 = 0 THEN 3 WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END AS INT) AS attempts,
+  CASE WHEN p_partkey % 7 = 0 THEN 'TimeoutError: no answer to ' || p_partkey END AS error, CASE WHEN p_partkey % 7 <> 0 THEN length(p_name || ' ' || p_type) END AS n_chars FROM part""",
     "stage_events": f"""WITH {_PARTS} SELECT 'classify' AS stage, 'update' AS kind, count(*) AS n, count(DISTINCT p_partkey) AS n_ids FROM p
 UNION ALL SELECT 'classify', 'custom', count(*), count(DISTINCT p_partkey) FROM p WHERE topic <> 'other' HAVING count(*) > 0
 UNION ALL SELECT 'generate', 'update', count(*), count(DISTINCT p_partkey) FROM p WHERE topic <> 'spam' HAVING count(*) > 0""",

@@ -11,7 +11,7 @@ from tamarisk.operators import inquiries
 from tamarisk.operators.retrieve import vector_top_k
 from tamarisk.plans.chains import create_chain, events
 from tamarisk.plans.sql import search, top
-from tamarisk.sources import files
+from tamarisk.sources import files, versions
 from tamarisk.sources.tables import load, work_dir
 
 
@@ -19,8 +19,25 @@ def dataset_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as a dataset of two versions, another of one; the latest of each."""
     path, rows = work_dir(spark, "datasets"), load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     for name, part in (("a", "c_nationkey < 10"), ("b", "c_nationkey >= 20"), ("a", "c_nationkey < 5")):
-        files.publish(rows.where(part), path, name)
-    return files.latest(spark.read.parquet(path)).select("name", "version", "c_custkey")
+        versions.publish(rows.where(part), path, name)
+    return versions.latest(spark, path).select("name", "version", "c_custkey")
+
+
+def dataset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a dataset; then without some, and with others changed: what changed, from the buckets that differ."""
+    path, rows = work_dir(spark, "datasets"), load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    key = F.col("o_orderkey")
+    versions.publish(rows, path, "orders")
+    versions.publish(rows.where(key % 500 != 3).withColumn("o_orderstatus", F.when(key % 700 == 5, "X").otherwise(F.col("o_orderstatus"))), path, "orders")
+    return versions.difference(spark, path, "orders", 1, 2)[0]
+
+
+def dataset_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of two versions, read after the second was published."""
+    path, rows = work_dir(spark, "datasets"), load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    versions.publish(rows.where("c_nationkey < 15"), path, "customers")
+    versions.publish(rows, path, "customers")
+    return versions.read(spark, path, "customers", 1)
 
 
 def index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,9 +94,13 @@ def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("item_id", F.md5(prompt).alias("prompt_md5"), F.size(tokens(prompt)).cast("long").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (dataset_publish, index_rebuild, facts_append, trace_append, json_bodies, feedback_guard, judge_replies, answer_prompts)}
+QUERIES = {f.__name__: f for f in (dataset_publish, dataset_difference, dataset_as_of, index_rebuild, facts_append, trace_append, json_bodies, feedback_guard, judge_replies, answer_prompts)}
 SQL = {
     "dataset_publish": "SELECT 'a' AS name, 2 AS version, c_custkey FROM customer WHERE c_nationkey < 5 UNION ALL SELECT 'b', 1, c_custkey FROM customer WHERE c_nationkey >= 20",
+    "dataset_difference": """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 700 = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 500 <> 3),
+a AS (SELECT o_orderkey, o_orderstatus FROM orders)
+SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)""",
+    "dataset_as_of": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey < 15",
     "index_rebuild": """
 WITH s AS (
   SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -95,26 +94,6 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def publish(df: DataFrame, path: str, name: str) -> int:
-    """Write df as the next version of a named dataset; gives that version. A version that is there already is an error, so a
-    second writer that comes to the same number fails instead of mixing its rows in."""
-    spark = df.sparkSession
-    try:
-        last = spark.read.parquet(path).where(F.col("name") == name).agg(F.max("version")).first()[0] or 0
-    except Exception as e:  # noqa: BLE001  nothing has been published there yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        last = 0
-    df.write.mode("error").parquet(f"{path}/name={quote(name, safe='')}/version={last + 1}")
-    return last + 1
-
-
-def latest(df: DataFrame, by: str = "name", version: str = "version") -> DataFrame:
-    """All rows of the greatest version of each name."""
-    top = df.groupBy(by).agg(F.max(version).alias(version))
-    return df.join(top, [by, version], "left_semi")
-
-
 def latest_row(df: DataFrame, by: list[str], version: str, ties: list[str]) -> DataFrame:
     """The row of the greatest version of each name."""
     w = Window.partitionBy(*by).orderBy(F.desc(version), *ties)

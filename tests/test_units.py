@@ -12,7 +12,7 @@ from tamarisk.operators import agents, conversations, evals, inquiries
 from tamarisk.operators.fuse import concatenated, reciprocal_rank_fusion
 from tamarisk.operators.retrieve import Corpus, vector_top_k
 from tamarisk.plans.chains import create_chain, events
-from tamarisk.sources import files
+from tamarisk.sources import files, versions
 from tamarisk.streaming import threads
 
 
@@ -143,8 +143,8 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in files.read_cues(spark, str(tmp_path / "t.vtt")).collect()] == [(1500, 2000, "hello\nyou"), (3600000, 3601000, "end")]
     df = spark.createDataFrame([(1,)], "x int")
     store = str(tmp_path / "store")
-    assert (files.publish(df, store, "n"), files.publish(df, store, "n"), files.publish(df, store, "a/b c")) == (1, 2, 1)
-    assert sorted((r.name, r.version) for r in files.latest(spark.read.parquet(store)).collect()) == [("a/b c", 1), ("n", 2)]
+    assert (versions.publish(df, store, "n"), versions.publish(df, store, "n"), versions.publish(df, store, "a/b c")) == (1, 2, 1)
+    assert sorted((r.name, r.version) for r in versions.latest(spark, store).collect()) == [("a/b c", 1), ("n", 2)]
     (tmp_path / "p").mkdir()
     (tmp_path / "p/a.pdf").write_bytes(b"one|two")
     pages = files.scan_documents(spark, str(tmp_path / "p"), lambda b: b.decode().split("|")).orderBy("page").collect()
@@ -290,6 +290,7 @@ def test_tool_loop(spark):
     assert found["a"] == [("user", "go"), ("assistant", ""), ("tool", "12"), ("tool", "unknown tool: none"), ("assistant", "end")]
     assert len(found["b"]) == 1 + 2 * 3 and found["c"] == [("assistant", "said")]
     assert {x.thread_id: x.content for x in agents.final_content(done).collect()}["a"] == "end"
+    assert {x.thread_id: x.status for x in agents.thread_status(done).collect()} == {"a": "done", "b": "open", "c": "done"}
     assert one(spark, *[agents.has_calls(c) for c in (F.lit(None).cast(agents.CALLS), F.array().cast(agents.CALLS), ask("x"))]) == (False, False, True)
 
 
