@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tamarisk.functions.text import tokens
 from tamarisk.operators import inquiries, postings, vector_index
 from tamarisk.operators.keyed_table import KeyedTable
+from tamarisk.operators.sorted_table import SortedTable
+from tamarisk.operators.spans import subtree_totals
 from tamarisk.plans.inquiry_queries import SQL as INQUIRIES
 from tamarisk.plans.inquiry_queries import inquiry_events
 from tamarisk.plans.retrieval_queries import SQL as RETRIEVAL
@@ -45,6 +47,29 @@ def status_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read()
 
 
+def inquiry_seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of finished orders, behind the last row of the first."""
+    table = SortedTable(spark, f"{work_dir(spark, 'pages')}/orders", "o_orderstatus", "o_orderdate", "o_orderkey")
+    table.build(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate"), 16)
+    last = table.page("F", 20).collect()[-1:]
+    return table.page("F", 20, (last[0].o_orderdate, last[0].o_orderkey)) if last else table.page("F", 0)
+
+
+def inquiry_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order, from the files whose Bloom filter may hold it."""
+    table = SortedTable(spark, f"{work_dir(spark, 'keys')}/orders", "o_orderstatus", "o_orderdate", "o_orderkey")
+    table.build(load(spark, sf_dir, "orders"), 16)
+    return table.lookup(7)
+
+
+def call_tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as spans: those of a block of 64 hang below its first, a third of them directly, the others one below the other."""
+    n = F.col("event_id")
+    parent = F.when(n % 64 == 0, None).when(n % 3 == 0, n - n % 64).otherwise(n - 1)
+    spans = load(spark, sf_dir, "events").select(n.alias("span_id"), parent.alias("parent_id"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return subtree_totals(spans, ["cents"])
+
+
 def _reviewed(events: DataFrame) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for p in {"click": "ask", "purchase": "approve", "view": "reject"}.items() for x in p])
     return events.select(F.col("user_id").cast("string").alias("thread_id"), F.col("event_id").alias("seq"), kinds[F.col("event_type")].alias("kind"), "ts")
@@ -92,11 +117,19 @@ def calls_without_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback(spark, sf_dir).where("fed_call IS NULL").select("call", "topic")
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, postings_topk, status_merge, call_reviews, token_stream, feedback_stream, calls_without_feedback)}
+QUERIES = {f.__name__: f for f in (vector_index_topk, postings_topk, status_merge, inquiry_seek_page, inquiry_key_lookup, call_tree_totals, call_reviews, token_stream, feedback_stream, calls_without_feedback)}
 SQL = {
     "vector_index_topk": RETRIEVAL["vector_topk"],
     "postings_topk": RETRIEVAL["bm25_topk"],
     "status_merge": INQUIRIES["status_fold"],
+    "inquiry_seek_page": INQUIRIES["inquiry_page"],
+    "inquiry_key_lookup": INQUIRIES["inquiry_point_lookup"],
+    "call_tree_totals": """
+WITH RECURSIVE s AS (
+  SELECT event_id AS span_id, CASE WHEN event_id % 64 = 0 THEN NULL WHEN event_id % 3 = 0 THEN event_id - event_id % 64 ELSE event_id - 1 END AS parent_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+a AS (SELECT span_id, span_id AS above, parent_id AS next, cents FROM s UNION ALL SELECT a.span_id, s.span_id, s.parent_id, a.cents FROM a JOIN s ON s.span_id = a.next),
+d AS (SELECT span_id, count(*) - 1 AS depth FROM a GROUP BY 1), t AS (SELECT above AS span_id, count(*) AS n_spans, CAST(sum(cents) AS BIGINT) AS cents FROM a GROUP BY 1)
+SELECT span_id, parent_id, depth, n_spans, t.cents FROM s JOIN d USING (span_id) JOIN t USING (span_id)""",
     "call_reviews": """
 WITH c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'),
 d AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'approved' ELSE 'rejected' END AS state FROM events WHERE event_type IN ('purchase', 'view')),
