@@ -10,10 +10,13 @@ from tamarisk.operators import inquiries, postings, vector_index
 from tamarisk.operators.keyed_table import KeyedTable
 from tamarisk.operators.sorted_table import SortedTable
 from tamarisk.operators.spans import subtree_totals
+from tamarisk.plans.answer_cache import AnswerCache
 from tamarisk.plans.inquiry_queries import SQL as INQUIRIES
 from tamarisk.plans.inquiry_queries import inquiry_events
 from tamarisk.plans.retrieval_queries import SQL as RETRIEVAL
 from tamarisk.plans.stream_queries import kept, rocksdb, stream
+from tamarisk.plans.sql import DOCS, ITEMS, search, top
+from tamarisk.sources import versions
 from tamarisk.sources.files import latest_row
 from tamarisk.sources.tables import load, work_dir
 from tamarisk.streaming.calls import feedback_joined, reviews, token_pieces
@@ -70,6 +73,19 @@ def call_tree_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subtree_totals(spans, ["cents"])
 
 
+def cached_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All questions, and the last word of each, of a corpus; then again after documents were added: what stays good is not asked again."""
+    path, docs = work_dir(spark, "cache"), load(spark, sf_dir, "documents").select("doc_id", "text")
+    questions = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    words = questions.select((-F.col("query_id") - 1).alias("query_id"), F.element_at(tokens(F.col("text")), -1).alias("text")).where("text IS NOT NULL")
+    versions.publish(docs.where("doc_id % 50 <> 3"), f"{path}/corpora", "documents")
+    cache = AnswerCache(spark, f"{path}/answers", f"{path}/corpora")
+    asked = questions.unionByName(words)
+    cache.ask(asked, "naive", "documents")
+    versions.publish(docs, f"{path}/corpora", "documents")
+    return cache.ask(asked, "naive", "documents")
+
+
 def _reviewed(events: DataFrame) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for p in {"click": "ask", "purchase": "approve", "view": "reject"}.items() for x in p])
     return events.select(F.col("user_id").cast("string").alias("thread_id"), F.col("event_id").alias("seq"), kinds[F.col("event_type")].alias("kind"), "ts")
@@ -117,7 +133,7 @@ def calls_without_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback(spark, sf_dir).where("fed_call IS NULL").select("call", "topic")
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, postings_topk, status_merge, inquiry_seek_page, inquiry_key_lookup, call_tree_totals, call_reviews, token_stream, feedback_stream, calls_without_feedback)}
+QUERIES = {f.__name__: f for f in (vector_index_topk, postings_topk, status_merge, inquiry_seek_page, inquiry_key_lookup, call_tree_totals, cached_answers, call_reviews, token_stream, feedback_stream, calls_without_feedback)}
 SQL = {
     "vector_index_topk": RETRIEVAL["vector_topk"],
     "postings_topk": RETRIEVAL["bm25_topk"],
@@ -130,6 +146,10 @@ WITH RECURSIVE s AS (
 a AS (SELECT span_id, span_id AS above, parent_id AS next, cents FROM s UNION ALL SELECT a.span_id, s.span_id, s.parent_id, a.cents FROM a JOIN s ON s.span_id = a.next),
 d AS (SELECT span_id, count(*) - 1 AS depth FROM a GROUP BY 1), t AS (SELECT above AS span_id, count(*) AS n_spans, CAST(sum(cents) AS BIGINT) AS cents FROM a GROUP BY 1)
 SELECT span_id, parent_id, depth, n_spans, t.cents FROM s JOIN d USING (span_id) JOIN t USING (span_id)""",
+    "cached_answers": f"""
+WITH {search(DOCS, f"SELECT * FROM ({ITEMS}) UNION ALL SELECT -query_id - 1, ws[-1:] FROM ({ITEMS}) WHERE len(ws) > 0")},
+gone AS (SELECT DISTINCT term FROM t WHERE doc_id % 50 = 3), hit AS (SELECT DISTINCT query_id FROM q JOIN gone USING (term))
+SELECT c.*, query_id NOT IN (SELECT query_id FROM hit) AS cached FROM ({top('cos', 5)}) c""",
     "call_reviews": """
 WITH c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'),
 d AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'approved' ELSE 'rejected' END AS state FROM events WHERE event_type IN ('purchase', 'view')),
