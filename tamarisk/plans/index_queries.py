@@ -99,7 +99,7 @@ def call_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_row(spark.read.parquet(f"{folder}/out"), ["thread_id", "call_id"], "batch", []).select("thread_id", "call_id", "state", "decided_by")
 
 
-def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ordered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every turn as tokens that come out of order over several batches, a fifth of them twice; put together again."""
     folder = work_dir(spark, "tokens")
     turns = load(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.posexplode(F.split("text", "(?<= )")).alias("i", "token"))
@@ -133,7 +133,7 @@ def calls_without_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback(spark, sf_dir).where("fed_call IS NULL").select("call", "topic")
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, postings_topk, status_merge, inquiry_seek_page, inquiry_key_lookup, call_tree_totals, cached_answers, call_reviews, token_stream, feedback_stream, calls_without_feedback)}
+QUERIES = {f.__name__: f for f in (vector_index_topk, postings_topk, status_merge, inquiry_seek_page, inquiry_key_lookup, call_tree_totals, cached_answers, call_reviews, ordered_tokens, feedback_stream, calls_without_feedback)}
 SQL = {
     "vector_index_topk": RETRIEVAL["vector_topk"],
     "postings_topk": RETRIEVAL["bm25_topk"],
@@ -158,7 +158,7 @@ f AS (
   SELECT c.user_id, c.event_id, c.ts, arg_min(d.event_id, (d.ts, d.event_id)) AS decided_by, arg_min(d.state, (d.ts, d.event_id)) AS state
   FROM c LEFT JOIN d ON d.user_id = c.user_id AND (d.ts > c.ts OR d.ts = c.ts AND d.event_id > c.event_id) AND d.ts <= c.ts + INTERVAL 6 HOUR GROUP BY 1, 2, 3)
 SELECT CAST(user_id AS VARCHAR) AS thread_id, event_id AS call_id, coalesce(state, CASE WHEN ts + INTERVAL 6 HOUR <= reached THEN 'expired' ELSE 'waiting' END) AS state, decided_by FROM f, w""",
-    "token_stream": "SELECT conv_id || '-' || turn AS key, md5(text) AS text_md5, len(string_split(text, ' ')) AS n_tokens FROM conversations WHERE text IS NOT NULL",
+    "ordered_tokens": "SELECT conv_id || '-' || turn AS key, md5(text) AS text_md5, len(string_split(text, ' ')) AS n_tokens FROM conversations WHERE text IS NOT NULL",
     "feedback_stream": INQUIRIES["feedback_kpi"],
     "calls_without_feedback": """
 WITH e AS (SELECT event_id AS seq, event_id % 8 AS k, (['product','development','other','spam'])[user_id % 4 + 1] AS topic, ts FROM events),

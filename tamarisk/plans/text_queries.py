@@ -28,7 +28,7 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def citation_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 40)
-    return load(spark, sf_dir, "documents").select("doc_id", scalars.citation_label(F.concat(F.lit("../"), "source"), page).alias("label"))
+    return load(spark, sf_dir, "documents").select("doc_id", scalars.citation_label(scalars.prefixed("../", F.col("source")), page).alias("label"))
 
 
 def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,13 @@ def tool_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.dispatched(load(spark, sf_dir, "events"), tools, "event_type").groupBy("event_type", "tool").agg(F.count("*").alias("n"))
 
 
+def weather_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as calls of the weather tool, for the nation of their user's customer."""
+    calls = load(spark, sf_dir, "events").where("event_type = 'view'").select("event_id", F.col("user_id").alias("c_custkey"))
+    places = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").select("c_custkey", "n_name")
+    return calls.join(places, "c_custkey").select("event_id", F.to_json(scalars.current_weather(F.col("n_name"))).alias("result"))
+
+
 def tool_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as calls and purchases of the same user and second number as results."""
     events = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.col("event_id") % 50).alias("call"))
@@ -110,7 +117,7 @@ def split_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_fixed, chunk_recursive, citation_label, token_stream, token_accumulate, last_message, new_messages_since, distinct_first_seen, last_state, edit_similarity, edit_similarity_turns, tool_dispatch, tool_orphans, rejected_calls,
+    chunk_fixed, chunk_recursive, citation_label, token_stream, token_accumulate, last_message, new_messages_since, distinct_first_seen, last_state, edit_similarity, edit_similarity_turns, tool_dispatch, weather_tool, tool_orphans, rejected_calls,
     forbidden_content, hallucination, thread_states, split_functions,
 )}
 _TOKENS = "SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), '')) AS token FROM conversations"
@@ -128,6 +135,8 @@ SELECT doc_id, chunk_no, length(substring(text, chunk_no * 900 + 1, 1000)) AS n_
     "distinct_first_seen": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1",
     "last_state": "SELECT user_id, arg_max(CASE WHEN value > 50 THEN 'on' ELSE 'off' END, event_id) FILTER (event_type = 'click') AS state FROM events GROUP BY 1",
     "edit_similarity": "SELECT c_custkey, round(1.0::DOUBLE - levenshtein(c_name, c_mktsegment)::DOUBLE / greatest(length(c_name), length(c_mktsegment)), 6) AS edit_similarity FROM customer",
+    "weather_tool": """SELECT event_id, '{"location":"' || n_name || '","temperature":"25","unit":"celsius"}' AS result
+FROM events JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey WHERE event_type = 'view'""",
     "tool_dispatch": "SELECT event_type, CASE event_type WHEN 'click' THEN 'turn_light' WHEN 'purchase' THEN 'generate_random_number' WHEN 'view' THEN 'get_current_weather' END AS tool, count(*) AS n FROM events GROUP BY 1, 2",
     "tool_orphans": """SELECT event_id, user_id, event_id % 50 AS call FROM events e WHERE event_type = 'click'
   AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_type = 'purchase' AND r.user_id = e.user_id AND r.event_id % 50 = e.event_id % 50)""",
