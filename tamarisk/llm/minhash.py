@@ -40,6 +40,8 @@ SMALL = 64
 #: Hashes of so many small sets come last in the order of prefixes.
 FREQUENT = 20
 BLOCK = 1_000
+#: Bytes of text that are sketched at a time: a document's registers take more room than its text.
+SLICE = 2 << 20
 #: Collisions of unrelated registers are this times 2 ** -mantissa bits, for sets of equal size (the HyperMinHash estimate).
 COLLISION = 0.169919487159739
 #: So many ids are broadcast to pick their texts (8 bytes each); more are joined by a shuffle of the texts.
@@ -211,7 +213,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     ids = stored(ids, "ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = stored(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sliced(_sets), "id long, hashes binary"), "sets")
+    sets = stored(docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sliced(_sets, SLICE), "id long, hashes binary"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("set_b")), "b")
     return both.select("a", "b", "set_a", "set_b").mapInArrow(sliced(_confirmed(percent)), "a long, b long")
 
@@ -225,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links do not depend on order. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marks = stored(docs.mapInArrow(sliced(_sketches(percent)), "id long, n long, set_key binary, coarse binary, regs binary, small array<long>"), "sketches")
+    marks = stored(docs.mapInArrow(sliced(_sketches(percent), SLICE), "id long, n long, set_key binary, coarse binary, regs binary, small array<long>"), "sketches")
     classes = stored(marks.where("n > 0 AND id IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("coarse", "regs", "small")]), "classes")
     bands = classes.select("rep", F.posexplode(_band_keys()).alias("band", "key")).unionByName(_prefix_keys(classes, percent))
     buckets = stored(bands.groupBy("key").agg(F.count("*").alias("c"), F.min("band").alias("band")).where("c > 1"), "buckets")

@@ -54,6 +54,8 @@ PREFIXES = (4, 5, 6)
 SPACE = 1 << 20
 #: Texts that are counted at a time, and pairs of sentences.
 CHUNK, PAIRS = 250, 4_000
+#: Bytes of text that are scored at a time.
+SLICE = 4 << 20
 #: So many words at either side of a term are the sentence that it is swapped in; a sentence may be as long as a text.
 WINDOW = 12
 #: At most so many labelled texts are fitted on, those of the least hash of their id.
@@ -270,5 +272,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, y))
     columns = passed_through(docs, [id_col] if columns is None else columns, ("score", "toxic"))
     own = docs.select(held(columns), F.col(text_col).cast("string").alias("text"))
-    scored = own.mapInArrow(sliced(_scored(model)), StructType([own.schema[0], StructField("score", DoubleType()), StructField("toxic", BooleanType())]))
+    scored = own.mapInArrow(sliced(_scored(model), SLICE), StructType([own.schema[0], StructField("score", DoubleType()), StructField("toxic", BooleanType())]))
     return scored.select(*let_go(columns), "score", "toxic")
