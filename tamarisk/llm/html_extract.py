@@ -38,8 +38,8 @@ def _kind(tag: str, parent: str) -> int:
     return 0 if tag in INLINE else 3 if parent in OUTER else 1 if tag in SECTIONS else 2
 
 
-def element_features(dom: Dom) -> list[list[str]]:
-    """Names of each element's features."""
+def element_kinds(dom: Dom) -> list[tuple]:
+    """What tells elements apart: tag, outer element, and magnitudes of direct text, text, links and sentence ends; and names."""
     n = len(dom.tag)
     text, links, stops, direct = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     inside = [False] * n
@@ -47,20 +47,25 @@ def element_features(dom: Dom) -> list[list[str]]:
         inside[i] = inside[dom.parent[i]] or dom.tag[i] == "a"
     for _, i, t in dom.chunks:
         k = len(t.strip())
-        text[i] += k
         direct[i] += k
         links[i] += k if inside[i] else 0
         stops[i] += sum(t.count(c) for c in ".,!?")
+    text += direct
     for i in range(n - 1, 0, -1):
         p = dom.parent[i]
         text[p], links[p], stops[p] = text[p] + text[i], links[p] + links[i], stops[p] + stops[i]
-    out = []
-    for i in range(n):
-        outer = dom.tag[dom.parent[i]] if i else ""
-        own = ["bias", f"tag={dom.tag[i]}", f"{dom.tag[i]} in {outer if outer in OUTER else 'others'}", f"direct={dom.tag[i] in OUTER} {int(np.log2(direct[i] + 1)) // 2}", f"length={int(np.log2(text[i] + 1)) // 2}", f"links={int(4 * links[i] / max(text[i], 1))}", f"stops={int(min(stops[i], 15)) // 3}"]
-        names = dict.fromkeys(_NAME.findall(dom.names[i].lower()))
-        out.append(own + [f"name={w}" for w in names] + (["named"] if names else [f"plain {dom.tag[i]}"]))
-    return out
+    size = lambda x: (np.log2(x + 1).astype(int) // 2).tolist()
+    linked, ends = (4 * links / np.maximum(text, 1)).astype(int).tolist(), (np.minimum(stops, 15).astype(int) // 3).tolist()
+    outer = ["", *(dom.tag[p] if dom.tag[p] in OUTER else "others" for p in dom.parent[1:])]
+    return list(zip(dom.tag, outer, size(direct), size(text), linked, ends, dom.names, strict=True))
+
+
+def feature_names(kind: tuple) -> list[str]:
+    """Names of the features of such an element."""
+    tag, outer, direct, length, links, stops, named = kind
+    names = dict.fromkeys(_NAME.findall(named.lower()))
+    own = ["bias", f"tag={tag}", f"{tag} in {outer or 'others'}", f"direct={tag in OUTER} {direct}", f"length={length}", f"links={links}", f"stops={stops}"]
+    return own + [f"name={w}" for w in names] + (["named"] if names else [f"plain {tag}"])
 
 
 @dataclass
@@ -76,18 +81,19 @@ class Forest:
     @staticmethod
     def of(doms: list[Dom], index: dict[str, int], grow: bool = False) -> Forest:
         parent, depth, kind, row, feature = [], [], [], [], []
+        known: dict[tuple, list[int]] = {}
         for dom in doms:
             base = len(parent)
-            for i, names in enumerate(element_features(dom)):
+            for i, own in enumerate(element_kinds(dom)):
                 p = dom.parent[i]
                 parent.append(base + p if p >= 0 else -1)
                 depth.append(depth[base + p] + 1 if p >= 0 else 0)
                 kind.append(_kind(dom.tag[i], dom.tag[p] if p >= 0 else ""))
-                for name in names:
-                    k = index.setdefault(name, len(index)) if grow else index.get(name)
-                    if k is not None:
-                        row.append(base + i)
-                        feature.append(k)
+                if (found := known.get(own)) is None:
+                    names = feature_names(own)
+                    found = known[own] = [index.setdefault(x, len(index)) for x in names] if grow else [index[x] for x in names if x in index]
+                row += [base + i] * len(found)
+                feature += found
         return Forest(*(np.array(x, np.int64) for x in (parent, depth, kind, row, feature)))
 
 
