@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarisk.functions.text import tokens
-from tamarisk.operators import inquiries, postings, vector_index
+from tamarisk.operators import embedding, inquiries, postings, vector_index
 from tamarisk.operators.keyed_table import KeyedTable
 from tamarisk.operators.sorted_table import SortedTable
 from tamarisk.operators.spans import subtree_totals
@@ -31,6 +31,16 @@ def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_index.VectorIndex(spark, path).search(rows.where("vec_id % 100 = 0"))
 
 
+def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items embedded by a decomposition of the documents; the nearest documents of each item. No SQL: it has
+    no decomposition."""
+    docs, path = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), work_dir(spark, "embedding-index")
+    model = embedding.fit(docs)
+    vector_index.build(embedding.embedded(docs, model), path)
+    asked = embedding.embedded(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"), "text"), model)
+    return vector_index.VectorIndex(spark, path).search(asked)
+
+
 def postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index is built of two thirds of the documents, the others are appended; then all benchmark items are asked."""
     docs, path = load(spark, sf_dir, "documents").select("doc_id", "text"), work_dir(spark, "postings-index")
@@ -133,7 +143,7 @@ def calls_without_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feedback(spark, sf_dir).where("fed_call IS NULL").select("call", "topic")
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, postings_topk, status_merge, inquiry_seek_page, inquiry_key_lookup, call_tree_totals, cached_answers, call_reviews, ordered_tokens, feedback_stream, calls_without_feedback)}
+QUERIES = {f.__name__: f for f in (vector_index_topk, embedding_topk, postings_topk, status_merge, inquiry_seek_page, inquiry_key_lookup, call_tree_totals, cached_answers, call_reviews, ordered_tokens, feedback_stream, calls_without_feedback)}
 SQL = {
     "vector_index_topk": RETRIEVAL["vector_topk"],
     "postings_topk": RETRIEVAL["bm25_topk"],
