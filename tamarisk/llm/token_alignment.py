@@ -28,7 +28,7 @@ from tamarisk.llm.tables import stored
 from tamarisk.llm.token_files import TOGETHER, TextEncoder
 
 #: Bytes of text that are aligned at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: So many counted pairs are broadcast (about 60 bytes each), the most frequent ones; the others are joined by a shuffle.
 BROADCAST_PAIRS = 400_000
 ROWS_DDL = "id long, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
