@@ -59,7 +59,8 @@ class ReviewProcessor(StatefulProcessor):
         yield self._rows(key[0], [(call, v[1], v[3]) for call, v in changed.items()])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # the first timer that fires ends all calls that are over, so the others find little to look through
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         over = [(k[0], v) for k, v in self.open.iterator() if self._deadline(v[0]) <= now] if self.open.exists() else []
         for call, _ in over:
             self.open.removeKey((call,))
