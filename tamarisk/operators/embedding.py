@@ -2,8 +2,9 @@
 
 A text is a sparse row of FEATURES hashed terms, (1 + log tf) log((1 + n) / (1 + df)), at unit length. The leading right singular
 vectors of all rows come from block power iteration: in each round every task multiplies its rows with the current block and
-back, and adds up one FEATURES x (rank + OVERSAMPLING) matrix; these are summed in Spark by blocks of features, and the driver
-makes the small sum orthogonal. So a round reads the corpus once, and what is shuffled and collected does not grow with it.
+back, and adds up one FEATURES x (rank + OVERSAMPLING) matrix; these are summed in Spark by blocks of features, those of some
+tasks first, and the driver makes the small sum orthogonal. So a round reads the corpus once and shuffles a matrix for each of
+its tasks, and what is collected does not grow with it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEATURES, RANK, OVERSAMPLING, ROUNDS = 1 << 13, 48, 8, 5
-#: Features of a sum that travel as one row.
-BLOCK = 256
+#: Features of a sum that travel as one row, and groups of tasks whose sums are added up first.
+BLOCK, GROUPS = 256, 32
 #: Bytes of text that are worked on at a time.
 SLICE = 4 << 20
 
@@ -77,10 +78,11 @@ def _summed(docs: DataFrame, own) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "sums"])
 
     def add(t: pa.Table) -> pa.Table:
-        return pa.table({"block": t["block"][:1], "sums": pa.array([sum(np.frombuffer(x) for x in t["sums"].to_pylist()).tobytes()], pa.binary())})
+        return pa.table({"block": t["block"][:1], "sums": pa.array([sum(np.frombuffer(x.as_buffer()) for x in t["sums"]).tobytes()], pa.binary())})
 
     kind = "block int, sums binary"
-    found = docs.mapInArrow(run, kind).groupBy("block").applyInArrow(add, kind).orderBy("block").collect()  # FEATURES rows of numbers
+    some = docs.mapInArrow(run, kind).withColumn("tasks", F.spark_partition_id() % GROUPS).groupBy("block", "tasks").applyInArrow(add, kind)
+    found = some.groupBy("block").applyInArrow(add, kind).orderBy("block").collect()  # FEATURES rows of numbers
     width = len(found[0].sums) // 8 // BLOCK if found else 1
     return np.concatenate([np.frombuffer(r.sums).reshape(-1, width) for r in found]) if found else np.zeros((FEATURES, 1))
 

@@ -242,6 +242,7 @@ def _best_of_range(asked, floor, k: int, schema: str):
         row, query = np.nonzero((sums.reshape(len(lengths), width) > 0) & (score >= least[numbers]))
         held = Best(k, len(own.queries), pa.int64())
         held.add(numbers[query], ids.take(pa.array(row)), np.column_stack([score[row, query]] * 3))
+        held.merge()
         return pa.table({"query_id": pa.array([own.queries[q] for q in held.query.tolist()], kind), "doc_id": held.ids, "score": pa.array(held.values[:, 0])})
 
     from pyspark.sql.pandas.types import to_arrow_type

@@ -23,8 +23,10 @@ K1, B = 1.5, 0.75
 DIGITS = 6
 #: Rows of query terms, and bytes of query vectors, that go to every task at a time; more queries make more blocks.
 BLOCK_TERMS, BLOCK_BYTES = 500_000, 32 << 20
-#: Scores that are held at a time, and bytes of text that are split at a time.
-SCORES, SLICE = 1 << 21, 8 << 20
+#: Scores, and pairs of a document's term and a query, that are held at a time; and bytes of text that are split at a time.
+SCORES, PAIRS, SLICE = 1 << 19, 1 << 19, 4 << 20
+#: Rows that are scored at a time against some of the query vectors; and rows that wait at least before they are merged.
+ROWS, WAIT = 2_048, 1 << 16
 
 
 def best(df: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), doc: str = "doc_id") -> DataFrame:
@@ -44,19 +46,31 @@ def rounded(x: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best documents of each of n queries, as far as they have been seen; ties by document."""
+    """The k best documents of each of n queries, as far as they have been seen; ties by document. What is added waits until it
+    is as much as what is held; merge() takes in what still waits."""
 
     def __init__(self, k: int, n: int, ids: pa.DataType) -> None:
         self.k = k
         #: What a score must reach to be of use.
         self.floor = np.full(n, -np.inf)
         self.query, self.values, self.ids = np.zeros(0, np.int64), np.zeros((0, 3)), pa.array([], ids)
+        self.waiting: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.n_waiting = 0
 
     def add(self, query: np.ndarray, ids: pa.Array, values: np.ndarray) -> None:
         """values: a row of score and two more numbers for each."""
-        self.query = np.concatenate([self.query, query])
-        self.values = np.concatenate([self.values, values])
-        self.ids = pa.concat_arrays([self.ids, ids])
+        self.waiting.append((query, ids, values))
+        self.n_waiting += len(query)
+        if self.n_waiting > max(WAIT, len(self.query)):
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.n_waiting:
+            return
+        self.query = np.concatenate([self.query, *(q for q, _, _ in self.waiting)])
+        self.values = np.concatenate([self.values, *(v for _, _, v in self.waiting)])
+        self.ids = pa.concat_arrays([self.ids, *(i for _, i, _ in self.waiting)])
+        self.waiting, self.n_waiting = [], 0
         place = pc.rank(self.ids, tiebreaker="dense").to_numpy()
         order = np.lexsort((place, -self.values[:, 0], self.query))
         sorted_query = self.query[order]
@@ -66,6 +80,24 @@ class Best:
         self.query, self.values, self.ids = self.query[order], self.values[order], self.ids.take(pa.array(order))
         self.floor[last] = self.values[np.flatnonzero(nth[nth < self.k] == self.k - 1), 0]
 
+    def useful(self, score: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where scores, a row for each of the queries `of`, may be among the k best; of what is alike to the k-th here all."""
+        there = score >= self.floor[of][:, None]
+        if score.shape[1] > self.k and np.count_nonzero(there) > self.k * len(of):
+            there &= score >= np.partition(score, -self.k, axis=1)[:, -self.k, None]
+        return np.nonzero(there)
+
+    def scan(self, ids: pa.Array, x: np.ndarray, queries: np.ndarray, of: np.ndarray) -> None:
+        """Take in the products of rows and the queries `of`, some of both at a time."""
+        for at in range(0, len(x), ROWS):
+            part = x[at : at + ROWS]
+            for first in range(0, len(of), width := max(1, SCORES // len(part))):
+                own = of[first : first + width]
+                score = rounded(queries[own] @ part.T)
+                query, row = self.useful(score, own)
+                if len(row):
+                    self.add(own[query], ids.take(pa.array(at + row)), np.repeat(score[query, row][:, None], 3, axis=1))
+
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Smaller batches, unless a single text is large."""
@@ -133,17 +165,26 @@ class _Block:
         self.mean = seen[-1] / n if n and seen[-1] else 1.0
         self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
 
-    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """BM25, cosine and number of covered terms, a row for each text and a column for each query."""
-        n, width = len(texts), len(self.queries)
-        length, norm, row, term, tf = _counted(texts, self.terms)
-        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / self.mean))
-        many = self.bounds[term + 1] - self.bounds[term]
-        of = np.repeat(self.bounds[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        cell = np.repeat(row, many) * width + self.query[of]
-        sums = lambda x: np.bincount(cell, x, n * width).reshape(n, width)
-        dot = sums(np.repeat(tf, many) * self.qtf[of])
-        return rounded(sums(np.repeat(weight, many))), rounded(dot / np.maximum(norm[:, None] * self.qnorm, 1e-300)), sums(np.ones(len(cell)))
+    def scores(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """BM25, cosine and number of covered terms, a row for each query and a column for each text, for some texts at a time: as many as
+        have SCORES of them and PAIRS of a term and a query that asks for it, or one. The first number tells which text they begin with."""
+        width = len(self.queries)
+        length, norm, all_rows, all_terms, all_tf = _counted(texts, self.terms)
+        begin = np.searchsorted(all_rows, np.arange(len(texts) + 1))
+        pairs = np.concatenate([[0], np.cumsum(self.bounds[all_terms + 1] - self.bounds[all_terms])])[begin]
+        at = 0
+        while at < len(texts):
+            end = min(at + max(1, SCORES // max(width, 1)), max(at + 1, int(np.searchsorted(pairs, pairs[at] + PAIRS, "right")) - 1))
+            n, own = min(end, len(texts)) - at, slice(begin[at], begin[min(end, len(texts))])
+            row, term, tf = all_rows[own] - at, all_terms[own], all_tf[own]
+            weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[at + row] / self.mean))
+            many = self.bounds[term + 1] - self.bounds[term]
+            of = np.repeat(self.bounds[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            cell = self.query[of] * n + np.repeat(row, many)
+            sums = lambda x, cell=cell, n=n: np.bincount(cell, x, n * width).reshape(width, n)
+            dot = sums(np.repeat(tf, many) * self.qtf[of])
+            yield at, rounded(sums(np.repeat(weight, many))), rounded(dot / np.maximum(norm[at : at + n] * self.qnorm[:, None], 1e-300)), sums(np.ones(len(cell)))
+            at += n
 
     def ranked(self, docs: DataFrame, tops: dict[str, int]) -> DataFrame:
         """Of each task the best of each query: ranking, q, doc_id, score, bm25, coverage."""
@@ -153,18 +194,20 @@ class _Block:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block, held = shared.value, {}
             width = len(block.queries)
-            for big in _split(batches):
-                for at in range(0, big.num_rows, step := max(1, SCORES // max(width, 1))):
-                    batch = big.slice(at, step)
-                    ids = batch.column(0)
-                    bm25, cosine, coverage = block.scores(batch.column(1))
+            every = np.arange(width)
+            for batch in _split(batches):
+                ids = batch.column(0)
+                for at, bm25, cosine, coverage in block.scores(batch.column(1)):
                     for name, k in tops.items():
-                        score = bm25 if name == "bm25" else cosine
+                        score = np.where(coverage > 0, bm25 if name == "bm25" else cosine, -np.inf)
                         own = held.setdefault(name, Best(k, width, ids.type))
-                        row, query = np.nonzero((coverage > 0) & (score >= own.floor))
+                        query, row = own.useful(score, every)
+                        there = coverage[query, row] > 0
+                        query, row = query[there], row[there]
                         if len(row):
-                            own.add(query, ids.take(pa.array(row)), np.column_stack([x[row, query] for x in (score, bm25, coverage)]))
+                            own.add(query, ids.take(pa.array(at + row)), np.column_stack([x[query, row] for x in (score, bm25, coverage)]))
             for name, own in held.items():
+                own.merge()
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(own.query), pa.string()), pa.array(own.query), own.ids, *(pa.array(own.values[:, i]) for i in range(3))], ["ranking", "q", "doc_id", "score", "bm25", "coverage"])
 
         kinds = [StructField("ranking", StringType()), StructField("q", LongType()), docs.schema["doc_id"], *(StructField(c, DoubleType()) for c in ("score", "bm25", "coverage"))]
@@ -239,14 +282,13 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = 5, id_col: str
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own_ids, own = shared.value
             held = Best(k, len(own), pa.int64())
-            step = max(1, SCORES // max(len(own), 1))
+            every = np.arange(len(own))
             for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    ids, x = _unit(batch.slice(at, step))
+                for at in range(0, batch.num_rows, ROWS):
+                    ids, x = _unit(batch.slice(at, ROWS))
                     if len(ids) and len(own):
-                        score = rounded(x @ own.T)
-                        row, query = np.nonzero(score >= held.floor)
-                        held.add(query, ids.take(pa.array(row)), np.column_stack([score[row, query]] * 3))
+                        held.scan(ids, x, own, every)
+            held.merge()
             yield pa.RecordBatch.from_arrays([own_ids.take(pa.array(held.query)).combine_chunks() if isinstance(own_ids, pa.ChunkedArray) else own_ids.take(pa.array(held.query)), held.ids, pa.array(held.values[:, 0])], ["query_id", "doc_id", "score"])
 
         out.append(best(rows.mapInArrow(run, "query_id long, doc_id long, score double"), k))

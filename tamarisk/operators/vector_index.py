@@ -18,10 +18,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamarisk.operators.retrieve import BLOCK_BYTES, DIGITS, Best, best, rounded
+from tamarisk.operators.retrieve import BLOCK_BYTES, DIGITS, Best, best
 from tamarisk.sources.tables import work_dir
 
-#: Centres are fitted to at most so many rows, those of the least hash of their id; every row is indexed.
+#: Centres are fitted to at most so many rows, chosen by a hash; every row is indexed.
 TRAIN_ROWS = 100_000
 #: At most so many cells, about the square root of the number of rows.
 MOST_CELLS = 4096
@@ -29,8 +29,8 @@ MOST_CELLS = 4096
 FILE_ROWS = 250_000
 #: Cells that a query probes in the first round.
 FIRST = 4
-#: Numbers of distances between queries and cells that are held at a time.
-DISTANCES = 1 << 23
+#: Numbers of distances between queries and cells that are held at a time, by the driver and by a task.
+DISTANCES, TASK_DISTANCES = 1 << 23, 1 << 20
 #: What rounding may take off a bound.
 SLACK = 1e-6
 
@@ -50,30 +50,46 @@ def _placed(centres):
         for batch in batches:
             if batch.num_rows:
                 x = _units(batch.column(1))
-                step = max(1, DISTANCES // len(centres.value))
-                found = [_distances(x[at : at + step], centres.value) for at in range(0, len(x), step)]
-                cell = np.concatenate([d.argmin(1) for d in found])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(np.concatenate([d.min(1) for d in found]))], ["id", "v", "cell", "distance"])
+                step = max(1, TASK_DISTANCES // len(centres.value))
+                cell, distance = np.zeros(len(x), np.int32), np.zeros(len(x))
+                for at in range(0, len(x), step):
+                    d = _distances(x[at : at + step], centres.value)
+                    cell[at : at + step], distance[at : at + step] = d.argmin(1), d.min(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64())), pa.array(cell), pa.array(distance)], ["id", "v", "cell", "distance"])
 
     return run
 
 
+def _sample(rows: DataFrame, n: int) -> DataFrame:
+    """At most TRAIN_ROWS of n rows (id, v), dealt over the tasks; where all rows are alike there may be none."""
+    if n > TRAIN_ROWS:
+        # a share somewhat below TRAIN_ROWS / n, so that chance does not bring more; no sort, which would end in one task
+        share = max(1.0, TRAIN_ROWS - 8 * TRAIN_ROWS**0.5) / n
+        rows = rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def build(rows: DataFrame, path: str, id_col: str = "vec_id", vector: str = "embedding", cells: int | None = None) -> None:
     """Write the index of all rows that have a vector to a new folder. Vectors are stored at unit length; rows that repeat an
     id are all indexed. Without rows there is an index without cells."""
-    spark = rows.sparkSession
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    spark, folder = rows.sparkSession, work_dir(rows.sparkSession, "vectors")
+    # vectors may be costly to make, and are read three times
+    rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL").write.parquet(f"{folder}/own")
+    own = spark.read.schema("id long, v array<double>").parquet(f"{folder}/own")
     n = own.count()
     if n:
+        sample = _sample(own, n)
+        sample = sample if sample.take(1) else own.limit(1)
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        sample = own.orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).select(array_to_vector(F.transform("v", lambda x: x / F.greatest(length, F.lit(1e-300)))).alias("features"))
-        fitted = KMeans(k=max(1, min(cells or int(n**0.5), MOST_CELLS, n)), maxIter=10, seed=1).fit(sample)
-        centres = np.array(fitted.clusterCenters())
+        units = sample.select(array_to_vector(F.transform("v", lambda x: x / F.greatest(length, F.lit(1e-300)))).alias("features"))
+        apart = units.distinct().limit(2).collect()  # k-means fails on rows that are all alike
+        wanted = max(1, min(cells or int(n**0.5), MOST_CELLS, n))
+        centres = np.array(KMeans(k=wanted, maxIter=10, seed=1).fit(units).clusterCenters()) if len(apart) > 1 else np.array([apart[0].features.toArray()])
     else:
         centres = np.zeros((1, 1))
     shared = spark.sparkContext.broadcast(centres)
     # which file a row goes to depends on how many rows its cell has
-    staged = f"{work_dir(spark, 'vectors')}/placed"
+    staged = f"{folder}/placed"
     own.mapInArrow(_placed(shared), "id long, v array<double>, cell int, distance double").write.parquet(staged)
     placed = spark.read.schema("id long, v array<double>, cell int, distance double").parquet(staged)
     found = placed.groupBy("cell").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n")).collect()
@@ -115,11 +131,8 @@ class VectorIndex:
                     rows = np.flatnonzero(cells == cell)
                     of = asked[cell]
                     x = np.stack(batch.column(1).take(pa.array(rows)).to_numpy(zero_copy_only=False))
-                    for at in range(0, len(rows), step := max(1, DISTANCES // len(of))):
-                        score = rounded(x[at : at + step] @ queries[of].T)
-                        row, query = np.nonzero(score >= held.floor[of])
-                        if len(row):
-                            held.add(of[query], batch.column(0).take(pa.array(rows[at + row])), np.column_stack([score[row, query]] * 3))
+                    held.scan(batch.column(0).take(pa.array(rows)), x, queries, of)
+            held.merge()
             yield pa.RecordBatch.from_arrays([pa.array(ids[held.query]), held.ids, pa.array(held.values[:, 0])], ["query_id", "doc_id", "score"])
 
         rows = self.spark.read.schema("id long, v array<double>, cell int").parquet(f"{self.path}/rows").where(F.col("cell").isin(list(asked)))
