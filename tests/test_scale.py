@@ -42,3 +42,23 @@ def test_sums_of_an_embedding_meet_in_groups(spark, monkeypatch):
     assert total.shape == (512, 2) and (total == 64).all()
     dealt = [line for line in plans[0].splitlines() if "hashpartitioning(block" in line]
     assert len(dealt) == 2 and "tasks" in dealt[-1]
+
+
+def test_scores_are_bounded_in_pairs():
+    """Documents that hold words of nearly all queries: 8 million pairs of a term and a query in all."""
+    words = [f"w{i}" for i in range(40)]
+    block = retrieve._Block([SimpleNamespace(query_id=q, term=w, qtf=1) for q in range(500) for w in words])
+    block.idf[:] = 1.0
+    texts = pa.array([" ".join(words)] * 400 + ["none", ""])
+    parts, peak = peak_mb(lambda: [(len(x[-1][0]), bool((x[-1] == 40).all())) for x in block.scores(texts)])
+    assert sum(n for n, _ in parts) == 402 and [all_terms for _, all_terms in parts][:-1] == [True] * (len(parts) - 1)
+    assert len(parts) > 10 and peak < 120
+
+
+def test_vectors_are_compared_in_tiles():
+    rng = np.random.default_rng(4)
+    rows, asked = rng.normal(size=(6_000, 8)), rng.normal(size=(1_500, 8))
+    held = retrieve.Best(5, len(asked), pa.int64())
+    _, peak = peak_mb(lambda: (held.scan(pa.array(np.arange(6_000)), rows, asked, np.arange(1_500)), held.merge()))
+    want = np.lexsort((np.arange(6_000)[None].repeat(1_500, 0), -retrieve.rounded(asked @ rows.T)), axis=1)[:, :5]
+    assert held.ids.to_numpy().reshape(1_500, 5).tolist() == want.tolist() and peak < 80
