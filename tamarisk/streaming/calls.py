@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,8 +21,9 @@ class ReviewProcessor(StatefulProcessor):
 
     A decision (approve or reject) is on every call of its thread that was asked before it, is undecided and not older than
     `wait`. State and result do not depend on the order of rows: the earliest decision by (at, seq) counts, also if it comes
-    later. A timer at the end of a call's wait lets it expire, or forgets it if it was decided. What lies before the watermark
-    can decide no further call and is forgotten.
+    later. A thread has one timer, at the end of the first wait that is left: calls that are over then expire, or are forgotten
+    if they were decided. What lies before the watermark can decide no further call and is forgotten. A thread's state is one
+    value, read and written once for its rows of a batch.
     """
 
     def __init__(self, wait_ms: int) -> None:
@@ -29,42 +31,63 @@ class ReviewProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "call long", "at long, state string, decided_at long, decided_by long")
-        self.decisions = handle.getMapState("decisions", "seq long", "at long, state string")
+        calls = "call array<bigint>, at array<bigint>, state array<string>, decided_at array<bigint>, decided_by array<bigint>"
+        self.held = handle.getValueState("held", f"{calls}, seq array<bigint>, made array<bigint>, made_to array<string>, timer bigint")
+
+    def _read(self) -> tuple[dict[int, tuple], dict[int, tuple], int | None]:
+        """Calls, decisions, and when the timer fires."""
+        held = self.held.get()
+        if held is None:
+            return {}, {}, None
+        call, at, state, decided_at, decided_by, seq, made, to, timer = held
+        return dict(zip(call, zip(at, state, decided_at, decided_by, strict=True), strict=True)), dict(zip(seq, zip(made, to, strict=True), strict=True)), timer
+
+    def _write(self, calls: dict[int, tuple], decisions: dict[int, tuple], timer: int | None, fired: bool = False) -> None:
+        """Keep them, with a timer for the first wait that ends."""
+        wanted = min((self._deadline(v[0]) for v in calls.values()), default=None)
+        if wanted != timer or fired:
+            if timer is not None and not fired:
+                self.handle.deleteTimer(timer)
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+        if not calls and not decisions:
+            self.held.clear()
+            return
+        columns = [list(c) for c in zip(*calls.values(), strict=True)] or [[], [], [], []]
+        made = [list(c) for c in zip(*decisions.values(), strict=True)] or [[], []]
+        self.held.update((list(calls), *columns, list(decisions), *made, wanted))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        calls = {k[0]: v for k, v in self.open.iterator()} if self.open.exists() else {}
-        decisions = {k[0]: v for k, v in self.decisions.iterator()} if self.decisions.exists() else {}
+        calls, decisions, timer = self._read()
         changed: dict[int, tuple] = {}
         for batch in rows:
             for seq, at, kind in zip(batch["seq"].tolist(), batch["at"].tolist(), batch["kind"], strict=True):
                 if kind == "ask" and seq not in calls:
                     calls[seq] = changed[seq] = (at, "waiting", None, None)
-                    self.handle.registerTimer(self._deadline(at))
                 elif kind != "ask":
                     decisions[seq] = (at, "approved" if kind == "approve" else "rejected")
         ordered = sorted((at, seq, state) for seq, (at, state) in decisions.items())
-        for call, (at, state, decided_at, decided_by) in list(calls.items()):
-            first = next(((t, s, to) for t, s, to in ordered if (t, s) > (at, call)), None)
+        places = [d[:2] for d in ordered]
+        for call, (at, _, decided_at, decided_by) in list(calls.items()):
+            nth = bisect_right(places, (at, call))
+            first = ordered[nth] if nth < len(ordered) else None
             if first and first[0] <= at + self.wait and (decided_at is None or first[:2] < (decided_at, decided_by)):
                 calls[call] = changed[call] = (at, first[2], first[0], first[1])
-        for call, value in changed.items():
-            self.open.updateValue((call,), value)
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        for seq, (at, state) in decisions.items():
-            if at >= passed:
-                self.decisions.updateValue((seq,), (at, state))
-            elif self.decisions.containsKey((seq,)):
-                self.decisions.removeKey((seq,))
-        yield self._rows(key[0], [(call, v[1], v[3]) for call, v in changed.items()])
+        self._write(calls, {seq: d for seq, d in decisions.items() if d[0] >= passed}, timer)
+        if changed:
+            yield self._rows(key[0], [(call, v[1], v[3]) for call, v in changed.items()])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # the first timer that fires ends all calls that are over, so the others find little to look through
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        over = [(k[0], v) for k, v in self.open.iterator() if self._deadline(v[0]) <= now] if self.open.exists() else []
-        for call, _ in over:
-            self.open.removeKey((call,))
-        yield self._rows(key[0], [(call, "expired", None) for call, v in over if v[1] == "waiting"])
+        calls, decisions, timer = self._read()
+        over = {call: v for call, v in calls.items() if self._deadline(v[0]) <= now}
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        left = {call: v for call, v in calls.items() if call not in over}
+        self._write(left, {seq: d for seq, d in decisions.items() if d[0] >= passed}, timer, fired=True)
+        expired = [(call, "expired", None) for call, v in over.items() if v[1] == "waiting"]
+        if expired:
+            yield self._rows(key[0], expired)
 
     def _deadline(self, at: int) -> int:
         return -(-(at + self.wait) // 1000)

@@ -62,3 +62,23 @@ def test_vectors_are_compared_in_tiles():
     _, peak = peak_mb(lambda: (held.scan(pa.array(np.arange(6_000)), rows, asked, np.arange(1_500)), held.merge()))
     want = np.lexsort((np.arange(6_000)[None].repeat(1_500, 0), -retrieve.rounded(asked @ rows.T)), axis=1)[:, :5]
     assert held.ids.to_numpy().reshape(1_500, 5).tolist() == want.tolist() and peak < 80
+
+
+def test_a_thread_has_one_value_and_one_timer():
+    """Calls of the state store do not grow with the rows of a thread, and a call looks up its decision."""
+    calls_made = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *a: calls_made.append(name) or self
+
+        get = lambda self: calls_made.append("get")
+
+    n = 40_000
+    review = calls.ReviewProcessor(3_600_000)
+    review.init(Handle())
+    rows = pd.DataFrame({"seq": range(2 * n), "at": [1_000_000 * i for i in range(2 * n)], "kind": ["ask"] * n + ["approve"] * n})
+    began = time.time()
+    found = list(review.handleInputRows(("t",), iter([rows]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert time.time() - began < 20 and len(calls_made) <= 6
+    assert len(found[0]) == n and set(found[0]["decided_by"].dropna()) == {n}
