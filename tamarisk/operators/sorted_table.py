@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a Bloom filter for each key of a file, and hashes of a key. A filter is kept in pieces of so many bits.
 KEY_BITS, HASHES, PIECE = 10, 4, 32_768
+#: Rows of a file at most, about: a task sorts one file.
+FILE_ROWS = 500_000
 
 
 def _bit(key: Column, number: int, bits: Column) -> Column:
@@ -30,7 +32,9 @@ class SortedTable:
         return [F.col(self.by).asc_nulls_first(), F.col(self.time).desc_nulls_last(), F.col(self.key).asc_nulls_first()]
 
     def build(self, rows: DataFrame, files: int) -> None:
-        """Write rows in about so many files, and the file table. Rows of one status are ranged by time, so none is too many."""
+        """Write rows in about so many files, more if they would have more than FILE_ROWS rows, and the file table. Rows of one
+        status are ranged by time, so none is too many."""
+        files = max(files, -(-rows.count() // FILE_ROWS))
         rows.repartitionByRange(files, *self._order()).sortWithinPartitions(*self._order()).write.parquet(f"{self.path}/rows")
         stored = self.spark.read.parquet(f"{self.path}/rows").select(F.input_file_name().alias("file"), F.col(self.by).alias("by"), F.col(self.time).alias("time"), F.col(self.key).alias("key"))
         ends = stored.groupBy("file", "by").agg(F.max("time").alias("newest"), F.min("time").alias("oldest"), F.count("*").alias("n"), F.count_if(F.col("time").isNull()).alias("n_untimed"))

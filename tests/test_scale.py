@@ -64,6 +64,13 @@ def test_vectors_are_compared_in_tiles():
     assert held.ids.to_numpy().reshape(1_500, 5).tolist() == want.tolist() and peak < 80
 
 
+def test_many_sort_files_of_many_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sorted_table, "FILE_ROWS", 100)
+    table = sorted_table.SortedTable(spark, str(tmp_path / "t"), "status", "at", "id")
+    table.build(spark.range(2_000).selectExpr("id", "'a' AS status", "id AS at"), 2)
+    assert [r.id for r in table.page("a", 3, (1_500, 1_500)).collect()] == [1_499, 1_498, 1_497] and table.of_files >= 15
+
+
 def test_a_thread_has_one_value_and_one_timer():
     """Calls of the state store do not grow with the rows of a thread, and a call looks up its decision."""
     calls_made = []
