@@ -112,12 +112,16 @@ def call_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every turn as tokens that come out of order over several batches, a fifth of them twice; put together again."""
     folder = work_dir(spark, "tokens")
-    turns = load(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.posexplode(F.split("text", "(?<= )")).alias("i", "token"))
+    # dealt before the texts become tokens, which are many more bytes
+    rows = load(spark, sf_dir, "conversations").where("text IS NOT NULL").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
+    turns = rows.select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.posexplode(F.split("text", "(?<= )")).alias("i", "token"))
     shuffled = turns.select("key", F.col("i").cast("long").alias("i"), "token", F.explode(F.when(F.col("i") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
     parts = 4
-    shuffled.withColumn("part", F.pmod(F.xxhash64("key", "i", "again"), F.lit(parts))).repartition(parts, "part").drop("part", "again").write.parquet(f"{folder}/tokens")
+    # every task writes a file of each part, and a batch takes a share of all files
+    shuffled.withColumn("part", F.pmod(F.xxhash64("key", "i", "again"), F.lit(parts))).drop("again").write.partitionBy("part").parquet(f"{folder}/tokens")
+    n_files = len(spark.read.parquet(f"{folder}/tokens").inputFiles())
     with rocksdb(spark):
-        kept(token_pieces(spark.readStream.schema("key string, i long, token string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/tokens")), "append", folder)
+        kept(token_pieces(spark.readStream.schema("key string, i long, token string, part int").option("maxFilesPerTrigger", max(1, -(-n_files // parts))).parquet(f"{folder}/tokens"), max(1, rows.count() // 256)), "append", folder)
     whole = spark.read.parquet(f"{folder}/out").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "text"))), lambda x: x["text"]), "").alias("text"), F.sum("n").alias("n_tokens"))
     return whole.select("key", F.md5("text").alias("text_md5"), "n_tokens")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 CALLS = "thread_id string, call_id long, state string, decided_by long"
 #: Contiguous tokens: the number of the first, how many, and their text.
 PIECES = "key string, first long, n long, text string"
+#: Values of the state that texts are dealt over unless said.
+BUCKETS = 1024
 
 
 class ReviewProcessor(StatefulProcessor):
@@ -117,43 +120,39 @@ def batch_reviews(events: DataFrame, wait_ms: int, until=None) -> DataFrame:
     return found.select("thread_id", "call_id", F.when(F.col("d").isNotNull(), F.col("d.to")).when(over, "expired").otherwise("waiting").alias("state"), F.col("d.seq").alias("decided_by"))
 
 
-class TokenProcessor(StatefulProcessor):
-    """Tokens of a text that come in any order and repeat: the contiguous ones are given once, as soon as none is missing before."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.early = handle.getMapState("early", "i long", "token string")
-        self.next = handle.getValueState("next", "i long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = at = self.next.get()[0] if self.next.exists() else 0
-        came: dict[int, str] = {}
-        for batch in rows:
-            came.update((i, t) for i, t in zip(batch["i"].tolist(), batch["token"], strict=True) if i >= at)
-        out = []
-        while True:
-            if at in came:
-                out.append(came.pop(at))
-            elif self.early.exists() and self.early.containsKey((at,)):
-                out.append(self.early.getValue((at,))[0])
-            else:
-                break
-            if self.early.exists() and self.early.containsKey((at,)):
-                self.early.removeKey((at,))
+def _pieces(bucket: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Tokens of the texts of a bucket that come in any order and repeat: of each text the contiguous ones are given once, as soon as
+    none is missing before. State: the number of each text's next token, and the tokens that are early."""
+    names, nexts, many, numbers, tokens = state.get if state.exists else ([], [], [], [], [])
+    ends = list(accumulate(many, initial=0))
+    early = {name: dict(zip(numbers[a:b], tokens[a:b], strict=True)) for name, a, b in zip(names, ends, ends[1:], strict=False)}
+    first, touched = dict(zip(names, nexts, strict=True)), set()
+    for batch in rows:
+        for name, i, token in zip(batch["key"].tolist(), batch["i"].tolist(), batch["token"].tolist(), strict=True):
+            if i >= first.setdefault(name, 0):
+                early.setdefault(name, {})[i] = token
+                touched.add(name)
+    out = []
+    for name in sorted(touched):
+        own, at, found = early[name], first[name], []
+        while at in own:
+            found.append(own.pop(at))
             at += 1
-        for i, token in came.items():
-            self.early.updateValue((i,), (token,))
-        self.next.update((at,))
-        if out:
-            yield pd.DataFrame({"key": [key[0]], "first": [first], "n": [len(out)], "text": ["".join(out)]})
-
-    def close(self) -> None:
-        pass
+        if found:
+            out.append((name, first[name], len(found), "".join(found)))
+            first[name] = at
+    held = [early.get(name, {}) for name in first]
+    state.update((list(first), list(first.values()), [len(x) for x in held], [i for x in held for i in x], [t for x in held for t in x.values()]))
+    if out:
+        yield pd.DataFrame(out, columns=["key", "first", "n", "text"])
 
 
-def token_pieces(tokens: DataFrame) -> DataFrame:
+def token_pieces(tokens: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """A stream of tokens (key, i from 0, token) to pieces of text; the pieces of a key, by first, are its text so far. A token that
-    comes again is the same. Needs the RocksDB state store."""
-    return tokens.where("key IS NOT NULL AND i IS NOT NULL").select("key", "i", F.coalesce("token", F.lit("")).alias("token")).groupBy("key").transformWithStateInPandas(TokenProcessor(), PIECES, "Append", "none")
+    comes again is the same. Texts share a value of the state by buckets; some hundred texts a bucket are good."""
+    own = tokens.where("key IS NOT NULL AND i IS NOT NULL").select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", "i", F.coalesce("token", F.lit("")).alias("token"))
+    kept = "key array<string>, next array<bigint>, n array<bigint>, i array<bigint>, token array<string>"
+    return own.groupBy("bucket").applyInPandasWithState(_pieces, PIECES, kept, "append", "NoTimeout")
 
 
 def feedback_joined(calls: DataFrame, feedback: DataFrame, within: str, delay: str) -> DataFrame:

@@ -89,3 +89,17 @@ def test_a_thread_has_one_value_and_one_timer():
     found = list(review.handleInputRows(("t",), iter([rows]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
     assert time.time() - began < 20 and len(calls_made) <= 6
     assert len(found[0]) == n and set(found[0]["decided_by"].dropna()) == {n}
+
+
+def test_tokens_of_many_texts_share_a_value():
+    state = SimpleNamespace(exists=False, get=None, updates=0)
+
+    def update(value):
+        state.exists, state.get, state.updates = True, value, state.updates + 1
+
+    state.update = update
+    rows = pd.DataFrame({"key": [f"k{k}" for k in range(300) for _ in range(4)], "i": [3, 2, 0, 2] * 300, "token": ["d", "c", "a", "c"] * 300})
+    one = list(calls._pieces((0,), iter([rows]), state))
+    two = list(calls._pieces((0,), iter([pd.DataFrame({"key": ["k7", "k7", "k8"], "i": [1, 0, 4], "token": ["b", "a", "e"]})]), state))
+    assert state.updates == 2 and len(one) == 1 and (one[0]["text"] == "a").all() and len(one[0]) == 300
+    assert two[0].values.tolist() == [["k7", 1, 3, "bcd"]] and sum(state.get[2]) == 2 * 300 - 2 + 1
