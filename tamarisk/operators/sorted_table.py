@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bits of a Bloom filter for each key of a file, and hashes of a key. A filter is kept in pieces of so many bits.
 KEY_BITS, HASHES, PIECE = 10, 4, 32_768
 #: Rows of a file at most, about: a task sorts one file.
-FILE_ROWS = 500_000
+FILE_ROWS = 200_000
 
 
 def _bit(key: Column, number: int, bits: Column) -> Column:
@@ -39,8 +39,10 @@ class SortedTable:
         stored = self.spark.read.parquet(f"{self.path}/rows").select(F.input_file_name().alias("file"), F.col(self.by).alias("by"), F.col(self.time).alias("time"), F.col(self.key).alias("key"))
         ends = stored.groupBy("file", "by").agg(F.max("time").alias("newest"), F.min("time").alias("oldest"), F.count("*").alias("n"), F.count_if(F.col("time").isNull()).alias("n_untimed"))
         ends.write.parquet(f"{self.path}/files")
+        # a scan may take many files at once, whose bits a task would sort together
+        keys = stored.select("file", "key").repartition(files, "file")
         size = stored.groupBy("file").agg((KEY_BITS * F.count("*")).alias("bits"))
-        bits = stored.join(size, "file").select("file", "bits", F.explode(F.array(*[_bit(F.col("key"), i, F.col("bits")) for i in range(HASHES)])).alias("at"))
+        bits = keys.join(F.broadcast(size), "file").select("file", "bits", F.explode(F.array(*[_bit(F.col("key"), i, F.col("bits")) for i in range(HASHES)])).alias("at"))
         pieces = bits.groupBy("file", "bits", F.floor(F.col("at") / PIECE).alias("piece")).agg(F.bitmap_construct_agg(F.col("at") % PIECE).alias("bitmap"))
         pieces.write.parquet(f"{self.path}/keys")
 
